@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialoom.llm import chosen_path, decontaminate, language_mix, mixing, secret_automata, token_frames, wrappers
+from medialoom.llm import chosen_path, decontaminate, language_mix, mixing, secret_automata, token_frames, viterbi_count, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_output(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_count.token_counts(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(spark, table(spark, sf_dir, "documents"))
 
