@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialoom.llm import chosen_path, decontaminate, language_mix, mixing, secret_automata, token_frames, viterbi_count, wrappers
+from medialoom.llm import chosen_path, decontaminate, language_mix, mixing, quality_llr, secret_automata, token_frames, viterbi_count, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_llr.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_automata.secrets(spark, table(spark, sf_dir, "documents"))
 
