@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 20
 HALF = BUCKETS // 2
-SMOOTH = 1.0
+#: Counts that both multinomials are given beforehand, in proportion to the raw one: what is rare says little, so that a
+#: clean document that nobody labelled is not held against its own rare words.
+SMOOTH = 3.0
 #: A byte b from 1 to 127 stands for a log ratio of (b - ZERO) * STEP.
 ZERO, STEP = 64, 0.1
-THRESHOLD = -0.35
+THRESHOLD = -0.3
 LABELS_BROADCAST = 2_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -88,7 +90,8 @@ def ratio_table(docs: DataFrame, labels: DataFrame) -> bytes:
     if not sums["raw"] or not sums["target"]:
         parts.unpersist()
         return bytes([ZERO]) * BUCKETS
-    ratio = lambda x: F.log((x["target"] + SMOOTH) / (sums["target"] + SMOOTH * BUCKETS)) - F.log((x["raw"] + SMOOTH) / (sums["raw"] + SMOOTH * BUCKETS))
+    share = sums["target"] / sums["raw"]
+    ratio = lambda x: F.log((x["target"] + SMOOTH) / (x["raw"] * share + SMOOTH))
     letter = lambda x: F.char(F.greatest(F.lit(1), F.least(F.lit(127), F.round(ratio(x) / STEP).cast("int") + ZERO)))
     said = parts.select("chunk", F.array_join(F.transform("all", letter), "").alias("said")).collect()  # BUCKETS characters
     parts.unpersist()
