@@ -11,7 +11,8 @@ Steps are taken in the metric of the tokens (w_i moves by p_i . g, not by tokens
 a document is and not on its length. The rate of a document is a fold of its posterior over the steps so far; so a round
 is one pass that sums a number for each domain, and the driver holds only those steps.
 
-The budget of tokens is the largest at which no domain is asked for more than it has at max_rate.
+The budget of tokens is the one at which the domain of the greatest weight is taken whole; of a domain that has less than
+its share of that, all is taken. Domains of less than LEAST_SHARE of the tokens have no target.
 
 The classifier is fitted on about SAMPLE_DOCS labelled documents of each domain, drawn by a hash of doc_id. Everything
 else covers all documents.
@@ -44,6 +45,7 @@ DECAY = 1e-6
 ROUNDS = 60
 CLOSE = 1e-4
 MAX_RATE = 1.0
+LEAST_SHARE = 1e-3
 
 
 def features(text: str | None) -> tuple[np.ndarray, int]:
@@ -160,12 +162,11 @@ def solve(rows: DataFrame, targets: dict[str, float], max_rate: float = MAX_RATE
     """The steps of projected gradient descent, with the totals it began and ended with and those it aimed at."""
     n = len(DOMAINS)
     have, gram = expected(rows, np.zeros((0, n)), max_rate, n)
-    weight = np.asarray([targets.get(d, 0.0) if have[i] > 0 else 0.0 for i, d in enumerate(DOMAINS)])
+    weight = np.asarray([targets.get(d, 0.0) if have[i] > LEAST_SHARE * have.sum() else 0.0 for i, d in enumerate(DOMAINS)])
     if have.sum() <= 0 or weight.sum() <= 0:
         return np.zeros((0, n)), {"have": have, "target": have, "got": have}
-    weight /= weight.sum()
-    budget = min(have[i] / weight[i] for i in range(n) if weight[i] > 0)
-    target, scale = weight * budget, np.maximum(have, 1.0)
+    budget = have[weight.argmax()] / weight.max()
+    target, scale = np.minimum(weight * budget, have), np.maximum(have, 1.0)
     size = 1 / np.linalg.eigvalsh(gram / np.sqrt(scale[:, None] * scale[None, :])).max()
     steps, got = [], have
     for _ in range(ROUNDS):
