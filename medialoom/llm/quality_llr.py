@@ -15,11 +15,11 @@ of them say so. Extra columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialoom.llm.shared import let
+
 BUCKETS = 1 << 20
 HALF = BUCKETS // 2
 #: Counts that both multinomials are given beforehand, in proportion to the raw one: what is rare says little, so that a
@@ -33,11 +33,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once: a lambda's argument, where a repeated expression would be computed anew."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 

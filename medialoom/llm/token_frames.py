@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,7 +35,7 @@ from medialoom.llm.shared import Workspace
 
 END_ID = 1
 FRAME_TOKENS = 1 << 20
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("tokens", "<u8"), ("frames", "<u4")])
 SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
@@ -62,11 +64,13 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
         self.room, self.known = room, {}
+        if sys.byteorder != "little":
+            raise OSError("files are little-endian, and so must be the machine")
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         if any(c in text for c in ODD_SPACE):
-            return text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+            return [c for c in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if c]
         return text.split()
 
     @staticmethod
@@ -78,14 +82,30 @@ class Encoder:
         parts = [self.chunks(self.small(t)) if isinstance(t, str) else [] for t in texts]
         if len(self.known) > self.room:
             self.known.clear()
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.asarray(e.ids, self.type).tobytes()
+        self.learn(set(chain.from_iterable(parts)).difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def learn(self, new: set[str]) -> None:
+        """Encodes chunks. One of Latin letters before full stops or commas is cut by the tokenizer where the letters end, so
+        its two halves are encoded instead, which other chunks have too."""
+        known, halves = self.known, []
+        for chunk in new:
+            if chunk[-1] in ".,":
+                word = chunk.rstrip(".,")
+                if word.isalpha() and max(word) < "\u0250":
+                    halves.append((chunk, word, chunk[len(word) :]))
+        if halves:
+            new = new.difference(c for c, _, _ in halves).union(w for _, w, _ in halves).union(e for _, _, e in halves).difference(known)
+        every = list(new)
+        code = "H" if self.width == 2 else "I"
+        for k in range(0, len(every), 20_000):
+            some = every[k : k + 20_000]
+            for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                known[chunk] = array(code, e.ids).tobytes()
+        for chunk, word, end in halves:
+            known[chunk] = known[word] + known[end]
+
 
 _encoders: dict[str, Encoder] = {}
 
