@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialoom.llm import chosen_path, decontaminate, language_mix, line_dedup, mixing, quality_llr, secret_automata, token_frames, viterbi_count, wrappers
+from medialoom.llm import chosen_path, decontaminate, language_mix, line_dedup, mixing, oracles, quality_llr, secret_automata, token_frames, viterbi_count, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_jaccard_join": oracles.JACCARD_JOIN, "op7_decontamination": oracles.DECONTAMINATION}
