@@ -192,14 +192,17 @@ def infer(words: dict[str, list[str]], texts: list[str]) -> Grammar:
     return Grammar(automata, {c: math.log((n + 0.5) / total) for c, n in seen.items()})
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Learns from at most `sample` different credentials of each kind, least by their hash."""
+def train(docs: DataFrame, sample: int = SAMPLE, plain: int = 200) -> Grammar:
+    """Learns from at most `sample` different credentials of each kind, one from each of so many buckets of hashes, and from
+    about `plain` texts: what reaches the driver does not grow with the corpus."""
     words, some = {}, docs.select("text").where(F.col("text").isNotNull())
     for kind, pattern, group in (("assign", _assign.pattern, 2), ("access", ACCESS, 0), ("hex", _hex.pattern, 0)):
-        found = some.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("w"))
-        found = found.where(F.length("w") >= LEAST[kind]).distinct().orderBy(F.xxhash64("w"), "w").limit(sample)
-        words[kind] = sorted(r["w"] for r in found.collect())
-    texts = [r["text"] for r in some.where(F.length("text") < 20_000).orderBy(F.xxhash64("text"), "text").limit(200).collect()]
+        found = some.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("w")).where(F.length("w") >= LEAST[kind])
+        words[kind] = sorted(r["w"] for r in found.groupBy(F.pmod(F.xxhash64("w"), F.lit(sample))).agg(F.min("w").alias("w")).collect())
+    short = some.where(F.length("text") < 20_000)
+    n = short.count()
+    drawn = F.pmod(F.xxhash64("text", F.lit("plain")), F.lit(1 << 30)) / float(1 << 30)
+    texts = sorted(r["text"] for r in short.where(drawn < min(1.0, plain / max(1, n))).distinct().collect())
     return infer(words, texts)
 
 
