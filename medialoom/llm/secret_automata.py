@@ -3,9 +3,10 @@
 Labelled credentials are the values that the fixed patterns find, labelled by the pattern's kind. For each kind a prefix
 tree of a bounded sample of them, over classes of characters, is generalised: states whose onward frequencies agree within
 Hoeffding's bound, and whose successors do too, are merged (red-blue order), which leaves a probabilistic automaton of the
-kind's format. Every candidate (a run of credential characters with letters and digits) of every text is then scored: its
-log likelihood per character under the best automaton against that of ordinary text. Candidates at least as likely
-as all but the strangest of the sample, and far likelier than ordinary text, are added to the spans of the patterns.
+kind's format. Every candidate (a run of at least as many credential characters as the kind has at least; a run with dots
+also by its parts, where it is not of a kind as a whole) of every text is then scored: its log likelihood per character
+under the best automaton against that of ordinary text. Candidates at least as likely as all but the strangest of the
+sample, and far likelier than ordinary text, are added to the spans of the patterns.
 
 SAMPLE credentials of a kind at most are learned from; patterns, candidates and scores cover every whole text.
 
@@ -40,13 +41,16 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 _assign = re.compile(ASSIGN.replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"), re.ASCII)
 _access = re.compile(ACCESS)
 _hex = re.compile(r"[0-9a-f]{32,}")
-_candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+_candidate = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
+_part = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 _hints = ("passw", "secret", "token", "api")
 
 SAMPLE = 600
 ALPHA = 0.01
 STRANGE = 0.02
 FAR = 1.0
+#: Verdicts that a grammar remembers.
+KNOWN = 1 << 17
 
 
 def class_of(c: str) -> str:
@@ -167,16 +171,26 @@ class Automaton:
 class Grammar:
     automata: dict[str, Automaton]
     ordinary: dict[str, float]
+    known: dict[str, str | None] = field(default_factory=dict)
 
     def plain(self, word: str) -> float:
         return sum(self.ordinary.get(c, -9.0) for c in word) / max(1, len(word))
 
     def verdict(self, word: str) -> str | None:
         """The kind whose format the word has."""
-        best = max(((a.score(word) - a.level, k) for k, a in self.automata.items()), default=None)
+        scores = {k: a.score(word) for k, a in self.automata.items() if len(word) >= LEAST[k]}
+        best = max(((x - self.automata[k].level, k) for k, x in scores.items()), default=None)
         if best is None or best[0] < 0:
             return None
-        return best[1] if self.automata[best[1]].score(word) - self.plain(word) >= FAR else None
+        return best[1] if scores[best[1]] - self.plain(word) >= FAR else None
+
+    def kind_of(self, word: str) -> str | None:
+        """verdict, remembered for words that come again."""
+        if word not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[word] = self.verdict(word)
+        return self.known[word]
 
 
 def infer(words: dict[str, list[str]], texts: list[str]) -> Grammar:
@@ -206,18 +220,27 @@ def train(docs: DataFrame, sample: int = SAMPLE, plain: int = 200) -> Grammar:
     return infer(words, texts)
 
 
+def added(grammar: Grammar, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of every candidate that has a kind's format and overlaps nothing taken; dots at the ends are not of it."""
+
+    def found(start: int, w: str) -> tuple[int, int, str] | None:
+        end, kind = start + len(w), grammar.kind_of(w)
+        return None if kind is None or any(s < end and start < e for s, e in taken) else (start, end, kind)
+
+    for m in _candidate.finditer(text):
+        w = m[0].strip(".")
+        if (whole := found(m.start() + m[0].index(w), w)) is not None:
+            yield whole
+        elif "." in w:
+            yield from filter(None, (found(m.start() + p.start(), p[0]) for p in _part.finditer(m[0])))
+
+
 def spans_of(grammar: Grammar, text: str) -> list[tuple[int, int, int, str]]:
     """(start, rank of kind, end, name) of every span, base ones and added ones."""
     base = base_spans(text)
     out = [(s, k, e, KINDS[k]) for s, k, e in base]
-    if sum(d in text for d in "0123456789") >= 2:
-        taken = [(s, e) for s, _, e in base]
-        for m in _candidate.finditer(text):
-            w = m[0]
-            if sum(c.isdigit() for c in w) < 3 or not any(c.isalpha() for c in w) or any(s < m.end() and m.start() < e for s, e in taken):
-                continue
-            if (kind := grammar.verdict(w)) is not None:
-                out.append((m.start(), len(KINDS) + KINDS.index(kind), m.end(), f"like_{kind}"))
+    for start, end, kind in added(grammar, text, [(s, e) for s, _, e in base]):
+        out.append((start, len(KINDS) + KINDS.index(kind), end, f"like_{kind}"))
     return sorted(out)
 
 
