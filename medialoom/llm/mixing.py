@@ -12,7 +12,7 @@ a document is and not on its length. The rate of a document is a fold of its pos
 is one pass that sums a number for each domain, and the driver holds only those steps.
 
 The budget of tokens is the one at which the domain of the greatest weight is taken whole; of a domain that has less than
-its share of that, all is taken. Domains of less than LEAST_SHARE of the tokens have no target.
+its share of that, all is taken. Domains of less than LEAST_SHARE of the tokens do not set the budget, and all of them is taken.
 
 The classifier is fitted on about SAMPLE_DOCS labelled documents of each domain, drawn by a hash of doc_id. Everything
 else covers all documents.
@@ -162,11 +162,12 @@ def solve(rows: DataFrame, targets: dict[str, float], max_rate: float = MAX_RATE
     """The steps of projected gradient descent, with the totals it began and ended with and those it aimed at."""
     n = len(DOMAINS)
     have, gram = expected(rows, np.zeros((0, n)), max_rate, n)
-    weight = np.asarray([targets.get(d, 0.0) if have[i] > LEAST_SHARE * have.sum() else 0.0 for i, d in enumerate(DOMAINS)])
+    rare = have <= LEAST_SHARE * have.sum()
+    weight = np.where(rare, 0.0, [targets.get(d, 0.0) for d in DOMAINS])
     if have.sum() <= 0 or weight.sum() <= 0:
         return np.zeros((0, n)), {"have": have, "target": have, "got": have}
     budget = have[weight.argmax()] / weight.max()
-    target, scale = np.minimum(weight * budget, have), np.maximum(have, 1.0)
+    target, scale = np.where(rare, have, np.minimum(weight * budget, have)), np.maximum(have, 1.0)
     size = 1 / np.linalg.eigvalsh(gram / np.sqrt(scale[:, None] * scale[None, :])).max()
     steps, got = [], have
     for _ in range(ROUNDS):

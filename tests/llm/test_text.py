@@ -121,6 +121,14 @@ def test_candidates_by_likelihood_alone():
     assert S.spans_of(grammar, "ordinarywords.andletters are ordinary") == []
 
 
+def test_rare_domains_are_kept(spark):
+    for share, rare in ((2, 1), (5, 1), (2, 0)):
+        one = lambda d: [float(k == d) for k in range(3)]
+        rows = spark.createDataFrame([(3000, one(2 if rare else 1)), (3000, one(0 if rare else 2)), (share, one(rare))], "n_tokens bigint, posterior array<double>")
+        steps, said = M.solve(rows, M.TARGETS)
+        assert M.fold_rates(np.asarray([one(rare)]), steps, 1.0)[0] > 0.999 and said["target"][rare] == share
+
+
 def test_languages(spark, docs, rows):
     got = {r.doc_id: r for r in G.languages(spark, docs).collect()}
     for i in (300, 301, 302, 303):
