@@ -195,29 +195,46 @@ class Grammar:
 
 def infer(words: dict[str, list[str]], texts: list[str]) -> Grammar:
     """The automata of labelled words; texts show what ordinary characters are."""
+    return grammar_of(words, Counter("".join(texts)))
+
+
+def grammar_of(words: dict[str, list[str]], seen: dict[str, int]) -> Grammar:
+    """The automata of labelled words, and how often each character is seen in texts."""
     automata = {}
     for kind, some in words.items():
         if len(some) >= 20:
             a = Automaton(some)
             a.level = float(np.quantile([a.score(w) for w in some], STRANGE))
             automata[kind] = a
-    seen = Counter("".join(texts))
     total = sum(seen.values()) + 1
     return Grammar(automata, {c: math.log((n + 0.5) / total) for c, n in seen.items()})
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, plain: int = 200) -> Grammar:
+def characters(docs: DataFrame) -> dict[str, int]:
+    """How often each code point occurs in all texts: a row of it for each partition, then one in all."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0x110000, np.int64)
+        for f in frames:
+            for text in f["text"]:
+                for at in range(0, len(text), 1 << 20):
+                    found = np.bincount(np.frombuffer(text[at : at + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32))
+                    total[: len(found)] += found
+        points = np.flatnonzero(total)
+        yield pd.DataFrame({"point": points, "n": total[points]})
+
+    rows = docs.select("text").where(F.col("text").isNotNull()).mapInPandas(run, "point int, n bigint")
+    return {chr(r["point"]): r["n"] for r in rows.groupBy("point").agg(F.sum("n").alias("n")).collect()}
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Learns from at most `sample` different credentials of each kind, one from each of so many buckets of hashes, and from
-    about `plain` texts: what reaches the driver does not grow with the corpus."""
+    the characters of all texts: what reaches the driver does not grow with the corpus."""
     words, some = {}, docs.select("text").where(F.col("text").isNotNull())
     for kind, pattern, group in (("assign", _assign.pattern, 2), ("access", ACCESS, 0), ("hex", _hex.pattern, 0)):
         found = some.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("w")).where(F.length("w") >= LEAST[kind])
         words[kind] = sorted(r["w"] for r in found.groupBy(F.pmod(F.xxhash64("w"), F.lit(sample))).agg(F.min("w").alias("w")).collect())
-    short = some.where(F.length("text") < 20_000)
-    n = short.count()
-    drawn = F.pmod(F.xxhash64("text", F.lit("plain")), F.lit(1 << 30)) / float(1 << 30)
-    texts = sorted(r["text"] for r in short.where(drawn < min(1.0, plain / max(1, n))).distinct().collect())
-    return infer(words, texts)
+    return grammar_of(words, characters(docs))
 
 
 def added(grammar: Grammar, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:

@@ -121,6 +121,13 @@ def test_candidates_by_likelihood_alone():
     assert S.spans_of(grammar, "ordinarywords.andletters are ordinary") == []
 
 
+def test_ordinary_characters_of_all_texts(spark):
+    texts = ["ab " * 10_000, "é\U0001f600", None, "", *(f"q{i}" for i in range(500))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    seen = Counter("".join(t or "" for t in texts))
+    assert S.characters(df) == seen and S.train(df).ordinary == S.infer({}, [t or "" for t in texts]).ordinary
+
+
 def test_rare_domains_are_kept(spark):
     for share, rare in ((2, 1), (5, 1), (2, 0)):
         one = lambda d: [float(k == d) for k in range(3)]
