@@ -6,8 +6,8 @@ expectation-maximisation estimates from its words. The set of languages is the o
 penalty for each language (BIC); lang_pred is its largest member.
 
 Learning reads text and lang of a bounded sample of the labelled rows outside the held-out fold: about SAMPLE_DOCS
-documents of each language, drawn by a hash of doc_id. At most MAX_LANGUAGES languages are learned, the most frequent
-ones: that bounds the broadcast model to BUCKETS * MAX_LANGUAGES * 4 bytes.
+documents of each language, drawn by a hash of doc_id. Every label is learned; the broadcast model takes BUCKETS * 4 bytes
+(256 KB) for each.
 
 Defined results: a null text, one without letters, and any text where nothing could be learned is `und` with score 0.
 score is the share of lang_pred in a mixture, else the posterior of the one language. A null doc_id is never learned
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from medialoom.llm.shared import ARROW_ROWS
 
 SAMPLE_DOCS = 1500
-MAX_LANGUAGES = 100
 BUCKETS = 1 << 16
 SMOOTH = 0.5
 PENALTY = 3.0
 ROUNDS = 12
+#: Characters that are scored at once for up to MANY languages, fewer for more.
 STEP = 1 << 19
+MANY = 100
 UNKNOWN = "und"
 #: A pipeline keeps what has a language with at least this score.
 MIN_SCORE = 0.3
@@ -65,12 +66,12 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (code >> np.uint32(16)).astype(np.int64) % BUCKETS, first, words
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about STEP characters."""
+def pieces(texts: list[str], step: int = STEP) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about step characters."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t) + 1
-        if held >= STEP:
+        if held >= step:
             yield lo, i + 1
             lo, held = i + 1, 0
     if lo < len(texts):
@@ -86,13 +87,14 @@ class Model:
 def fit(rows: list[tuple[str, str]]) -> Model:
     """The model of (text, lang) rows."""
     names = sorted({lang for _, lang in rows})
-    counts = np.zeros((BUCKETS, len(names)))
+    table = np.zeros((BUCKETS, len(names)), np.float32)
     for k, name in enumerate(names):
         texts = [t for t, lang in rows if lang == name]
+        counts = np.full(BUCKETS, SMOOTH)
         for lo, hi in pieces(texts):
-            counts[:, k] += np.bincount(trigrams(texts[lo:hi])[0], minlength=BUCKETS)
-    counts += SMOOTH
-    return Model(names, np.log(counts / counts.sum(0)).astype(np.float32))
+            counts += np.bincount(trigrams(texts[lo:hi])[0], minlength=BUCKETS)
+        table[:, k] = np.log(counts / counts.sum())
+    return Model(names, table)
 
 
 def mixture(likely: np.ndarray) -> tuple[np.ndarray, float]:
@@ -115,7 +117,7 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, str
     if not model.languages:
         return [(UNKNOWN, 0.0, "")] * len(texts)
     n_lang = len(model.languages)
-    for lo, hi in pieces(texts):
+    for lo, hi in pieces(texts, STEP * MANY // max(MANY, n_lang)):
         code, first, words = trigrams(texts[lo:hi])
         if not len(first):
             out += [(UNKNOWN, 0.0, "")] * (hi - lo)
@@ -178,7 +180,7 @@ def fold():
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     """Learns from about `sample` documents of each language outside the held-out fold."""
     rows = docs.select("doc_id", "text", "lang").where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     rate = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))))

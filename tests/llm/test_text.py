@@ -147,6 +147,16 @@ def test_languages(spark, docs, rows):
     assert kept.columns == docs.columns and not {300, 301, 302, 303} & {r.doc_id for r in kept.collect()}
 
 
+def test_more_than_a_hundred_labels_are_learned(spark):
+    rng = random.Random(6)
+    words = [["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(4)) for _ in range(20)] for k in range(130)]
+    rows = [(130 * j + k, " ".join(rng.choices(words[k], k=12)), f"l{k:03d}") for j in range(4) for k in range(130)]
+    model = G.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 130
+    got = G.predict(model, [" ".join(w) for w in words])
+    assert [g[0] for g in got] == model.languages
+
+
 def test_mixture_of_two_languages():
     model = G.fit([("the thing ering other there " * 20, "en"), ("schung verein einung versch " * 20, "de")])
     (name, score, both), (one, sure, _) = G.predict(model, ["the thing ering other there " * 8 + "schung verein einung versch " * 3, "thing there"])
