@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -30,6 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Shuffle files go when the query that made them ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def conf(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings of the session for a while; what they were before is put back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Workspace:
     """Named tables of one run, written under the shared folder so that losing an executor costs no lineage."""
 
@@ -46,7 +64,8 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """The rows of df, computed once and read back from the shared folder."""
         path = self.path(name)
-        df.write.parquet(path)
+        with conf(self.spark, **{CLEANUP: "true"}):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.medialoom_path = path
         return out
