@@ -11,7 +11,8 @@ nothing else. Two skippable frames follow, which plain zstandard readers pass ov
 Ids are little-endian, of 2 bytes where the vocabulary fits, else of 4; bit 0 of the descriptor's reserved bits says which.
 
 Defined results: a null text is encoded as an empty one; a null doc_id comes first; of equal doc_ids every row is kept,
-in the order of their texts. Tasks write under names of their own attempt, and the manifest lists the files of the
+in the order of a hash of their texts, so that one doc_id (or null) may fill many files. Extra columns are not read; an empty
+table makes a manifest without files, and no rows. Tasks write under names of their own attempt, and the manifest lists the files of the
 attempts that counted: a task that was lost and ran again leaves no trace in what is read.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -41,6 +43,9 @@ INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("tokens", "<u8"), ("frames
 SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 #: Characters at which str.split() cuts though the tokenizer does not count them as white space.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+#: Beyond the Latin letters, marks begin, which the tokenizer composes before it makes letters small; and the one Latin letter
+#: whose small form has a mark. Chunks with any of these go to the tokenizer as they are.
+ODD_LETTERS = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -73,13 +78,16 @@ class Encoder:
             return [c for c in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if c]
         return text.split()
 
-    @staticmethod
-    def small(text: str) -> str:
-        """The text in small letters where that surely leaves its ids alone, so that fewer chunks differ."""
-        return text if "<|" in text or "İ" in text or "Σ" in text else text.lower()
+    def parts(self, text: str) -> list[str]:
+        """The text's chunks, in small letters where that surely leaves their ids alone, so that fewer of them differ."""
+        if "<|" in text:
+            return self.chunks(text)
+        if text.isascii() or not ODD_LETTERS.search(text):
+            return self.chunks(text.lower())
+        return [c if ODD_LETTERS.search(c) else c.lower() for c in self.chunks(text)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.chunks(self.small(t)) if isinstance(t, str) else [] for t in texts]
+        parts = [self.parts(t) if isinstance(t, str) else [] for t in texts]
         if len(self.known) > self.room:
             self.known.clear()
         self.learn(set(chain.from_iterable(parts)).difference(self.known))
@@ -93,7 +101,7 @@ class Encoder:
         for chunk in new:
             if chunk[-1] in ".,":
                 word = chunk.rstrip(".,")
-                if word.isalpha() and max(word) < "\u0250":
+                if word.isalpha() and not ODD_LETTERS.search(word):
                     halves.append((chunk, word, chunk[len(word) :]))
         if halves:
             new = new.difference(c for c, _, _ in halves).union(w for _, w, _ in halves).union(e for _, _, e in halves).difference(known)
@@ -215,7 +223,8 @@ def write_frames(spark: SparkSession, docs: DataFrame, where: str, tokenizer: st
             yield pd.DataFrame({"part": [task.partitionId()], "file": [name], "docs": [n_docs], "tokens": [n_tokens]})
 
     rows = docs.select(F.col("doc_id").cast(LongType()).alias("doc_id"), "text")
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
     made = rows.mapInPandas(run, "part int, file string, docs bigint, tokens bigint").collect()  # a row for each file
     manifest, start = [], 0

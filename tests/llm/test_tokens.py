@@ -23,6 +23,29 @@ def test_round_trip(spark, docs, rows, tmp_path):
         start += len(ids)
 
 
+def test_ids_of_hostile_strings_are_the_librarys():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tokenizer, coder, rng = Tokenizer.from_file(T.tokenizer_path()), T.Encoder(T.tokenizer_path()), random.Random(8)
+    odd = ["\u1fbc\u0301", "A\u0301", "a\u030a", "\u00c5", "\u212b", "I\u0307", "\u0130", "\u0131", "\u01c5", "\u0149", "\u03a3", "\u03c2", "\u039f\u03a3", "\u1e9e", "\ufb01", "\u1100\u1161\u11a8", "\uac00\u11a8", "\u0f71\u0f72", "\u0344", "\u0340", "\u2126", "\u10a0", "\u13a0", "\u1c90", "\U00010400", "\u200d", "\u200b", "\ufeff", "\u0338", "\u0307", "\u0323"]
+    space = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "  "]
+    plain = ["the", "THE", "Caf\u00e9", "\u015eEHR\u0130.", "DEN\u0130ZL\u0130,", "don't", "I'LL", "end.", "end..,", "x,y", "'s", "12", "3.14", "<|", "<|endoftext|>", "<|EndOfText|>", "|>", "\u65e5\u672c", "\u0421\u041b\u041e\u0412\u041e.", "\u00aa.", "\u00df", "Stra\u00dfe,", ".", ","]
+    texts = ["".join(rng.choice(rng.choice((odd, space, plain, plain, space))) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, coder.type).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_one_doc_id_fills_many_files(spark, tmp_path):
+    rows = [(None if i % 2 else 5, f"text number {i} " * 20) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    files = T.write_frames(spark, docs, f"file://{tmp_path}/out", T.tokenizer_path())
+    assert len(files) > 2 and max(f["docs"] for f in files) < 300
+    got = sorted(T.read_frames(spark, f"file://{tmp_path}/out").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 200 + [5] * 200
+
+
 def test_reads_only_what_is_asked(spark, docs, tmp_path):
     where = f"file://{tmp_path}/out"
     files = T.write_frames(spark, docs, where, T.tokenizer_path())
