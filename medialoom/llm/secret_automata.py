@@ -8,7 +8,8 @@ also by its parts, where it is not of a kind as a whole) of every text is then s
 under the best automaton against that of ordinary text. Candidates at least as likely as all but the strangest of the
 sample, and far likelier than ordinary text, are added to the spans of the patterns.
 
-SAMPLE credentials of a kind at most are learned from; patterns, candidates and scores cover every whole text.
+SAMPLE credentials of a kind at most are learned from, and LEAST_LABELLED at least; patterns, candidates and scores cover every
+whole text.
 
 Defined results: a null text is an empty one and has no spans; the automata of a corpus without credentials add nothing;
 repeated rows get a row each; spans are in code points, end exclusive, in order of start, then of kind as listed, then of
@@ -46,6 +47,8 @@ _part = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 _hints = ("passw", "secret", "token", "api")
 
 SAMPLE = 600
+#: From fewer different credentials no format is learned: every state would be merged with every other.
+LEAST_LABELLED = 20
 ALPHA = 0.01
 STRANGE = 0.02
 FAR = 1.0
@@ -202,7 +205,7 @@ def grammar_of(words: dict[str, list[str]], seen: dict[str, int]) -> Grammar:
     """The automata of labelled words, and how often each character is seen in texts."""
     automata = {}
     for kind, some in words.items():
-        if len(some) >= 20:
+        if len(some) >= LEAST_LABELLED:
             a = Automaton(some)
             a.level = float(np.quantile([a.score(w) for w in some], STRANGE))
             automata[kind] = a
@@ -228,13 +231,18 @@ def characters(docs: DataFrame) -> dict[str, int]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Learns from at most `sample` different credentials of each kind, one from each of so many buckets of hashes, and from
-    the characters of all texts: what reaches the driver does not grow with the corpus."""
-    words, some = {}, docs.select("text").where(F.col("text").isNotNull())
-    for kind, pattern, group in (("assign", _assign.pattern, 2), ("access", ACCESS, 0), ("hex", _hex.pattern, 0)):
-        found = some.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("w")).where(F.length("w") >= LEAST[kind])
-        words[kind] = sorted(r["w"] for r in found.groupBy(F.pmod(F.xxhash64("w"), F.lit(sample))).agg(F.min("w").alias("w")).collect())
-    return grammar_of(words, characters(docs))
+    """Learns from at most `sample` different credentials of each kind, of each of so many buckets of hashes the one whose
+    further hash is least, so that a sample looks like all credentials however many there are; and from the characters of
+    all texts. What reaches the driver does not grow with the corpus."""
+    some = docs.select("text").where(F.col("text").isNotNull())
+    found = F.array(*(F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("words"), F.lit(LEAST[kind]).alias("least")) for kind, pattern, group in (("assign", _assign.pattern, 2), ("access", ACCESS, 0), ("hex", _hex.pattern, 0))))
+    rows = some.select(F.explode(found).alias("f")).where(F.size("f.words") > 0)
+    rows = rows.select("f.kind", "f.least", F.explode("f.words").alias("w")).where(F.length("w") >= F.col("least"))
+    rows = rows.groupBy("kind", F.pmod(F.xxhash64("w"), F.lit(sample)).alias("bucket")).agg(F.min_by("w", F.struct(F.xxhash64(F.lit("drawn"), "w"), "w")).alias("w"))
+    words: dict[str, list[str]] = {kind: [] for kind in KINDS}
+    for r in rows.collect():
+        words[r["kind"]].append(r["w"])
+    return grammar_of({kind: sorted(w) for kind, w in words.items()}, characters(docs))
 
 
 def added(grammar: Grammar, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:

@@ -121,6 +121,62 @@ def test_candidates_by_likelihood_alone():
     assert S.spans_of(grammar, "ordinarywords.andletters are ordinary") == []
 
 
+@pytest.mark.parametrize("n", [600, 200_000])
+def test_a_sample_looks_like_all_credentials(spark, n):
+    key = F.substring(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), 1, 40)
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words then password="), key).alias("text"))
+    grammar = S.train(df)
+    fresh = [r.w for r in spark.range(10**9, 10**9 + 1000).select(key.alias("w")).collect()]
+    assert sum(grammar.verdict(w) == "assign" for w in fresh) >= 900
+
+
+def test_added_spans_against_a_plain_scan(docs, rows):
+    rng = random.Random(11)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+    texts = [t for _, t, *_ in rows if t and len(t) < 5000]
+    texts = [t[:40] + " " + "".join(rng.choices(signs, k=rng.randint(6, 50))) + " " + t[40:] + rng.choice([" AKIA0123456789ABCD", " token=abcdefgh", ""]) for t in texts]
+    hexes = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(200)]
+    grammar = S.infer({"hex": hexes, "assign": ["".join(rng.choices(signs, k=20)) for _ in range(200)]}, texts)
+
+    def likely(a, word, at=0, total=0.0):
+        if not word:
+            return total
+        state = a.states[at]
+        p = (state.chars.get(word[0], 0) + 0.01) / (state.count + 1)
+        return likely(a, word[1:], state.onward.get(S.class_of(word[0]), at), total + np.log(p))
+
+    def is_secret(word):
+        fits = [(likely(a, word) / len(word) - a.level, k) for k, a in grammar.automata.items() if len(word) >= S.LEAST[k]]
+        plain = sum(grammar.ordinary.get(c, -9.0) for c in word) / max(1, len(word))
+        return bool(fits) and max(fits)[0] >= 0 and max(fits)[0] + grammar.automata[max(fits)[1]].level - plain >= S.FAR
+
+    def runs(text, of):
+        start = None
+        for k, c in enumerate(text + " "):
+            if c in of and start is None:
+                start = k
+            elif c not in of and start is not None:
+                if k - start >= 8:
+                    yield start, text[start:k]
+                start = None
+
+    found = 0
+    for text in texts:
+        base = [(s, e) for s, _, e in S.base_spans(text)]
+        free = lambda s, e: all(e <= x or y <= s for x, y in base)  # noqa: E731, B023
+        want = []
+        for at, run in runs(text, signs):
+            w = run.strip(".")
+            s = at + len(run) - len(run.lstrip("."))
+            if is_secret(w) and free(s, s + len(w)):
+                want.append((s, s + len(w)))
+            elif "." in w:
+                want += [(at + s, at + s + len(x)) for s, x in runs(run, signs[:-1]) if is_secret(x) and free(at + s, at + s + len(x))]
+        assert [(s, e) for s, k, e, _ in S.spans_of(grammar, text) if k >= 3] == sorted(want)
+        found += len(want)
+    assert found > 20
+
+
 def test_ordinary_characters_of_all_texts(spark):
     texts = ["ab " * 10_000, "é\U0001f600", None, "", *(f"q{i}" for i in range(500))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
