@@ -11,14 +11,15 @@ Steps are taken in the metric of the tokens (w_i moves by p_i . g, not by tokens
 a document is and not on its length. The rate of a document is a fold of its posterior over the steps so far; so a round
 is one pass that sums a number for each domain, and the driver holds only those steps.
 
-The budget of tokens is the one at which the domain of the greatest weight is taken whole; of a domain that has less than
-its share of that, all is taken. Domains of less than LEAST_SHARE of the tokens do not set the budget, and all of them is taken.
+The budget of tokens is the one at which the domain of the greatest weight is taken whole, however rare it is; of a domain that
+has less than its share of that, all is taken.
 
 The classifier is fitted on about SAMPLE_DOCS labelled documents of each domain, drawn by a hash of doc_id. Everything
 else covers all documents.
 
 Defined results: a null or empty text has no tokens, and the prior as its posterior. Labels with a null field are not
-used; where nothing is labelled every document is `good`. Repeated rows get a row each with the same rate. Documents
+used; of labels that contradict each other the worst counts (toxic, then poor); of several texts with one labelled doc_id the
+least is learned from; where nothing is labelled every document is `good`. Repeated rows get a row each with the same rate. Documents
 without any tokens keep rate max_rate. Extra columns are not read; an empty table gives no rows.
 """
 
@@ -45,7 +46,6 @@ DECAY = 1e-6
 ROUNDS = 60
 CLOSE = 1e-4
 MAX_RATE = 1.0
-LEAST_SHARE = 1e-3
 
 
 def features(text: str | None) -> tuple[np.ndarray, int]:
@@ -76,20 +76,19 @@ class Classifier:
         return e / e.sum()
 
 
-def fit(rows: list[tuple[str, int]], prior: np.ndarray, epochs: int = EPOCHS) -> Classifier:
-    """Softmax regression by AdaGrad, one document at a time in a fixed shuffled order; rows are (text, domain)."""
+def fit(rows: list[tuple[np.ndarray, int]], prior: np.ndarray, epochs: int = EPOCHS) -> Classifier:
+    """Softmax regression by AdaGrad, one document at a time in a fixed shuffled order; rows are (features, domain)."""
     n_domain = len(prior)
     model = Classifier(np.zeros((BUCKETS, n_domain)), np.zeros(n_domain))
     if not rows:
         model.bias = np.log(np.asarray([1.0] + [1e-9] * (n_domain - 1)))
         return model
-    found = [features(t)[0] for t, _ in rows]
     square, square_b = np.full((BUCKETS, n_domain), 1e-3), np.full(n_domain, 1e-3)
     weight = prior / np.maximum(np.bincount([d for _, d in rows], minlength=n_domain) / len(rows), 1e-9)
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
-            f, d = found[k], rows[k][1]
+            f, d = rows[k]
             p = model.posterior(f)
             p[d] -= 1
             p *= weight[d]
@@ -103,18 +102,27 @@ def fit(rows: list[tuple[str, int]], prior: np.ndarray, epochs: int = EPOCHS) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Classifier:
-    """The classifier of the labelled documents; the prior is that of all labels."""
+    """The classifier of the labelled documents; the prior is that of all labelled doc_ids. What the driver gets is a set of
+    at most BUCKETS features for each of about `sample` doc_ids a domain, however long or often repeated their texts are."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    named = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", domain.alias("domain"))
+    named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(domain).alias("domain"))
     sizes = {r["domain"]: r["count"] for r in named.groupBy("domain").count().collect()}
     if not sizes:
         return fit([], np.ones(len(DOMAINS)))
     rate = F.create_map(*(x for d, n in sizes.items() for x in (F.lit(d), F.lit(min(1.0, sample / n)))))
-    drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1_000_000)) / 1e6 < rate[F.col("domain")]).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "domain")  # drawn: about 3 * sample rows
+    drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1_000_000)) / 1e6 < rate[F.col("domain")])
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")  # drawn: about 3 * sample rows
+    rows = rows.groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["found"] = [features(t)[0] for t in f["text"]]
+            yield f[["doc_id", "domain", "found"]]
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = sorted(rows.mapInPandas(run, f"doc_id {kind}, domain int, found array<bigint>").collect(), key=lambda r: r["doc_id"])
     prior = np.asarray([sizes.get(d, 0) for d in range(len(DOMAINS))], float)
-    got = sorted((r["doc_id"], r["text"], r["domain"]) for r in rows.collect())
-    return fit([(t, d) for _, t, d in got], prior / prior.sum())
+    return fit([(np.asarray(r["found"], np.int64), r["domain"]) for r in got], prior / prior.sum())
 
 
 def memberships(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,12 +170,11 @@ def solve(rows: DataFrame, targets: dict[str, float], max_rate: float = MAX_RATE
     """The steps of projected gradient descent, with the totals it began and ended with and those it aimed at."""
     n = len(DOMAINS)
     have, gram = expected(rows, np.zeros((0, n)), max_rate, n)
-    rare = have <= LEAST_SHARE * have.sum()
-    weight = np.where(rare, 0.0, [targets.get(d, 0.0) for d in DOMAINS])
+    weight = np.asarray([targets.get(d, 0.0) for d in DOMAINS])
     if have.sum() <= 0 or weight.sum() <= 0:
         return np.zeros((0, n)), {"have": have, "target": have, "got": have}
     budget = have[weight.argmax()] / weight.max()
-    target, scale = np.where(rare, have, np.minimum(weight * budget, have)), np.maximum(have, 1.0)
+    target, scale = np.minimum(weight * budget, have), np.maximum(have, 1.0)
     size = 1 / np.linalg.eigvalsh(gram / np.sqrt(scale[:, None] * scale[None, :])).max()
     steps, got = [], have
     for _ in range(ROUNDS):
@@ -208,8 +215,10 @@ def rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) ->
 
 def thinned(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that thinning keeps, with docs' columns."""
-    gone = mixed(spark, docs, labels, **options).where(~F.col("kept")).select(F.col("i").alias("medialoom_i"), F.col("key_a").alias("medialoom_a"), F.col("key_b").alias("medialoom_b")).distinct()
-    a, b = text_key()
-    keyed = docs.withColumns({"medialoom_ka": a, "medialoom_kb": b})
-    on = keyed.doc_id.eqNullSafe(gone.medialoom_i) & (keyed.medialoom_ka == gone.medialoom_a) & (keyed.medialoom_kb == gone.medialoom_b)
-    return keyed.join(gone, on, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = mixed(spark, docs.select("doc_id", "text"), labels, **options).where(~F.col("kept")).select("i", "key_a", "key_b").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    a, b = text_key(text)
+    keyed = docs.toDF(*names).select("*", a.alias("ka"), b.alias("kb"))
+    on = doc_id.eqNullSafe(F.col("i")) & (F.col("ka") == F.col("key_a")) & (F.col("kb") == F.col("key_b"))
+    return keyed.join(gone, on, "left_anti").select(*names).toDF(*docs.columns)
