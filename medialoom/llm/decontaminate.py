@@ -32,6 +32,8 @@ from medialoom.llm.shared import Workspace, batches, word_hashes
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
+#: So many item_ids, whatever their texts are, are dealt by their hashes beyond that.
+IDS = 100_000
 SHARD_BYTES = 1 << 22
 QUERIES = 4096
 #: A document is contaminated if its words hit are at least one in so many.
@@ -41,8 +43,9 @@ SHARE = 20
 class Block:
     """Some benchmark items: their words by number, every suffix as a row, and the windows among the suffixes."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        found, self.items = [], []
+    def __init__(self, items: list[tuple[list[str], str]], window: int = WINDOW):
+        """items: the item_ids of a text, and the text."""
+        found = []
         for _, data, offsets in batches([t for _, t in items], lower=False):
             h, s = word_hashes(data)
             cuts = np.searchsorted(s, offsets)
@@ -207,7 +210,7 @@ def scan(block):
                 got = search(b, np.concatenate(words), cuts) if len(b.flat) else ([np.zeros((0, 2), np.int64)] * len(words), [[]] * len(words), np.zeros(len(words), np.int64))
                 n_words += [len(w) for w in words]
                 spans += got[0]
-                items += [[b.items[i] for i in x] for x in got[1]]
+                items += [[name for i in x for name in b.items[i]] for x in got[1]]
                 longest += got[2].tolist()
                 at = to
             f["spans"] = [joined(np.concatenate([np.asarray(x, np.int64).reshape(-1, 2), y])).ravel() for x, y in zip(f["spans"], spans, strict=True)]
@@ -227,13 +230,19 @@ def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.drop(columns="items")
 
 
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items, in lists of about BLOCK_BYTES of text: a text's hash deals it to a block, so none is cut."""
+def blocks_of(ws: Workspace, benchmark: DataFrame) -> Iterator[list[tuple[list[str], str]]]:
+    """The benchmark's different texts, each with its item_ids, in lists of about BLOCK_BYTES: a hash deals a text to a block, so
+    none is cut. Ids are dealt too where there are more than IDS of them, so a text that is repeated without end comes
+    several times, with some of its ids each."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull())
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(rows.count() / IDS))
+    deal = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    texts = ws.write(rows.groupBy("text", deal.alias("part")).agg(F.collect_list("item_id").alias("ids")), "benchmark")
+    size = F.octet_length("text") + F.octet_length(F.array_join("ids", ",")) + 8
+    total = texts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / BLOCK_BYTES))
     for k in range(n):
-        yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()]
+        yield [(r["ids"], r["text"]) for r in texts.where(F.pmod(F.xxhash64("text", "part"), F.lit(n)) == k).collect()]
 
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -247,7 +256,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: li
     carried = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields)
     none = {"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>"), "longest": F.lit(0).cast("long"), "n_words": F.lit(0).cast("long")}
     rows = rows.withColumns(none)
-    for k, items in enumerate(blocks_of(benchmark)):
+    for k, items in enumerate(blocks_of(ws, benchmark)):
         rows = ws.write(rows, "spans") if k else rows
         block = spark.sparkContext.broadcast(Block(items))
         rows = rows.mapInPandas(scan(block), f"{carried}spans array<bigint>, items array<string>, longest bigint, n_words bigint")
