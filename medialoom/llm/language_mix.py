@@ -86,14 +86,28 @@ class Model:
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """The model of (text, lang) rows."""
-    names = sorted({lang for _, lang in rows})
+    counts: dict[str, np.ndarray] = {}
+    for lang, found in counted(rows):
+        counts[lang] = counts.get(lang, 0) + found
+    return model_of(counts)
+
+
+def counted(rows: list[tuple[str, str]]) -> Iterator[tuple[str, np.ndarray]]:
+    """(lang, times of each bucket) of the texts of each language."""
+    for lang in sorted({lang for _, lang in rows}):
+        texts = [t for t, x in rows if x == lang]
+        found = np.zeros(BUCKETS, np.int64)
+        for lo, hi in pieces(texts):
+            found += np.bincount(trigrams(texts[lo:hi])[0], minlength=BUCKETS)
+        yield lang, found
+
+
+def model_of(counts: dict[str, np.ndarray]) -> Model:
+    names = sorted(counts)
     table = np.zeros((BUCKETS, len(names)), np.float32)
     for k, name in enumerate(names):
-        texts = [t for t, lang in rows if lang == name]
-        counts = np.full(BUCKETS, SMOOTH)
-        for lo, hi in pieces(texts):
-            counts += np.bincount(trigrams(texts[lo:hi])[0], minlength=BUCKETS)
-        table[:, k] = np.log(counts / counts.sum())
+        smooth = counts[name] + SMOOTH
+        table[:, k] = np.log(smooth / smooth.sum())
     return Model(names, table)
 
 
@@ -178,15 +192,34 @@ def fold():
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """Learns from about `sample` documents of each language outside the held-out fold."""
+    """Learns from about `sample` documents of each language outside the held-out fold. Executors count; what the driver gets
+    is BUCKETS numbers a language, however long the texts are."""
     rows = docs.select("doc_id", "text", "lang").where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     rate = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))))
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1_000_000)) / 1e6
-    kept = rows.where(drawn < F.coalesce(rate[F.col("lang")], F.lit(0.0))).select("text", "lang").orderBy(F.col("doc_id")).collect()
-    return fit([(r["text"], r["lang"]) for r in kept])
+    kept = rows.where(drawn < F.coalesce(rate[F.col("lang")], F.lit(0.0))).select("text", "lang")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for f in frames:
+            for lang, found in counted(list(zip(f["text"], f["lang"], strict=True))):
+                total[lang] = total.get(lang, 0) + found
+        for lang, found in total.items():
+            at = np.flatnonzero(found)
+            yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": found[at]})
+
+    sums = kept.mapInPandas(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    every = sums.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))  # BUCKETS pairs at most
+    counts = {}
+    for r in every.toLocalIterator():
+        counts[r["lang"]] = np.zeros(BUCKETS, np.int64)
+        counts[r["lang"]][r["at"]] = r["n"]
+    for r in sizes:  # languages whose documents have no letters
+        counts.setdefault(r["lang"], np.zeros(BUCKETS, np.int64))
+    return model_of(counts)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, keep: list[str] | None = None) -> DataFrame:
