@@ -293,14 +293,15 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay: of every group the one with the least doc_id (null last), and every text without words.
-    Of rows that repeat a doc_id with its text one stays."""
-    groups = text_groups(spark, docs, **options).where("stays")
-    key = {"medialoom_a": text_key()[0], "medialoom_b": text_key()[1], "medialoom_words": F.coalesce(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))}
-    keyed = docs.withColumns(key)
-    groups = groups.select(F.col("key_a").alias("medialoom_ga"), F.col("key_b").alias("medialoom_gb"), F.col("keeper_id").alias("medialoom_id"))
-    on = (keyed.medialoom_a == groups.medialoom_ga) & (keyed.medialoom_b == groups.medialoom_gb) & keyed.doc_id.eqNullSafe(groups.medialoom_id)
-    rows = keyed.join(groups, on, "left").where(~F.col("medialoom_words") | F.col("medialoom_ga").isNotNull())
-    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
-    order = Window.partitionBy("medialoom_a", "medialoom_b", "doc_id").orderBy(*(rest or ["doc_id"]))
-    rows = rows.withColumn("medialoom_n", F.row_number().over(order)).where(~F.col("medialoom_words") | (F.col("medialoom_n") == 1))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    Of rows that repeat a doc_id with its text the first by its other columns stays. docs may have columns of any names."""
+    groups = text_groups(spark, docs.select("doc_id", "text"), **options).where("stays").select("key_a", "key_b", "keeper_id")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    has_words = F.coalesce(text.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
+    keyed = docs.toDF(*names).select("*", *(k.alias(n) for k, n in zip(text_key(text), ("ka", "kb"), strict=True)), has_words.alias("words"))
+    rows = keyed.join(groups, (F.col("ka") == F.col("key_a")) & (F.col("kb") == F.col("key_b")) & doc_id.eqNullSafe(F.col("keeper_id")), "left")
+    rows = rows.where(~F.col("words") | F.col("key_a").isNotNull())
+    rest = [F.col(n) for n, (c, kind) in zip(names, docs.dtypes, strict=True) if c not in ("doc_id", "text") and not kind.startswith("map")]
+    order = Window.partitionBy("ka", "kb", doc_id).orderBy(*(rest or [doc_id]))
+    rows = rows.withColumn("n", F.row_number().over(order)).where(~F.col("words") | (F.col("n") == 1))
+    return rows.select(*names).toDF(*docs.columns)

@@ -3,6 +3,7 @@ hashing over byte arrays, and connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,11 @@ ARROW_ROWS = "500"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that setting is unset and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="medialoom-")
@@ -78,9 +81,9 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_key(column: str = "text") -> list:
+def text_key(text: Column | str = "text") -> list[Column]:
     """Two independent 64-bit hashes of a text, computed in the JVM: equal keys mean equal texts."""
-    return [F.xxhash64(F.col(column)).alias("key_a"), F.xxhash64(F.lit(7919), F.col(column)).alias("key_b")]
+    return [F.xxhash64(text).alias("key_a"), F.xxhash64(F.lit(7919), text).alias("key_b")]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,12 +102,13 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = ws.write(least, f"{name}-least")  # a table of its own, so that the join can be split at a node of many neighbours
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = ws.write(large, f"{name}-large")
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         small = ws.write(small, f"{name}-small")
-        ws.drop(large, now)
+        ws.drop(large, least, now)
         row = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         now, before, state = small, state, (row["n"], row["s"])
         if before == state:
