@@ -23,7 +23,7 @@ class Catalog:
     @cached_property
     def projects(self) -> DataFrame:
         rows = self.table("customer").join(F.broadcast(self.table("nation")), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 nations
-        return rows.select(F.col("c_custkey").alias("id"), F.concat(F.lit("/lib/"), "c_mktsegment", F.lit("/"), "c_name").alias("folder_path"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 5 != 0, F.col("n_name")).alias("artist"))
+        return rows.select(F.col("c_custkey").alias("id"), F.concat(F.lit("/lib/"), "c_mktsegment", F.lit("/"), "c_name").alias("folder_path"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 5 != 0, F.col("n_name")).alias("artist"), F.expr("timestamp '2024-01-29 00:00:00' - make_dt_interval(cast(c_custkey % 28 as int))").alias("last_scanned"))
 
     @cached_property
     def sets(self) -> DataFrame:
@@ -62,6 +62,7 @@ class Catalog:
         return self.table("events").select(
             F.col("event_id").alias("id"),
             F.floor(F.col("event_id") / 3).alias("set_id"),
+            F.when(F.col("event_id") % 40 == 0, F.col("event_id") % 100).alias("project_id"),
             F.concat(F.lit("/r/"), F.col("event_id").cast("string"), F.lit(".wav")).alias("audio_path"),
             F.when(F.col("event_type") == "error", "sketch").otherwise("discovered").alias("source"),
             (F.col("value") / 1000).alias("confidence"),
@@ -79,6 +80,12 @@ class Catalog:
             F.col("ts").alias("created_at"),
         )
 
+    @cached_property
+    def job_events(self) -> DataFrame:
+        """The log of export jobs: what happened to each, in order of (ts, event_id)."""
+        state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "click", "processing").otherwise("pending")
+        return self.table("events").select(F.col("user_id").alias("job"), "ts", "event_id", state.alias("state"))
+
     @cached_property
     def lists(self) -> DataFrame:
         return self.table("region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))

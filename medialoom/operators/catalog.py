@@ -43,7 +43,7 @@ def detail_json(catalog) -> DataFrame:
 def kind_histogram(catalog) -> DataFrame:
     """Tracks of each kind in each set."""
     count = lambda kind: F.count_if(F.col("kind") == kind).alias(f"n_{kind}")
-    return catalog.tracks.groupBy("set_id").agg(count("audio"), count("midi"), count("group"))
+    return catalog.tracks.groupBy("set_id").agg(count("audio"), count("midi"), count("group"), count("return"))
 
 
 def list_counts(catalog) -> DataFrame:
@@ -78,9 +78,10 @@ def wholly_unpreviewed_projects(catalog) -> DataFrame:
 
 
 def previewed_projects(catalog) -> DataFrame:
-    """Each project with whether any preview belongs to it or to one of its sets."""
-    of_sets = catalog.previews.join(catalog.sets.select(F.col("id").alias("set_id"), "project_id"), "set_id").select("project_id")
-    marked = of_sets.union(catalog.sets.where(F.col("artist_override").isNotNull()).select("project_id")).distinct()
+    """Each project with whether any preview belongs to it itself or to one of its sets."""
+    own = catalog.previews.where(F.col("project_id").isNotNull()).select("project_id")
+    of_sets = catalog.previews.select("set_id").join(catalog.sets.select(F.col("id").alias("set_id"), "project_id"), "set_id").select("project_id")
+    marked = own.union(of_sets).distinct()
     rows = catalog.projects.select("id").join(marked.select(F.col("project_id").alias("id"), F.lit(True).alias("has")), "id", "left")
     return rows.select("id", F.coalesce("has", F.lit(False)).alias("has_preview"))
 
@@ -101,11 +102,17 @@ def unscored_pending(catalog) -> DataFrame:
     return catalog.export_jobs.agg(F.count_if((F.col("status") == "pending") & F.col("score").isNull()).alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"))
 
 
+def triaged(jobs: DataFrame, scores: DataFrame) -> DataFrame:
+    """jobs(set_id, status, score, ...) with the scores(set_id, score) of those that are pending; the others keep theirs."""
+    new = scores.select("set_id", F.col("score").alias("new"))
+    score = F.when(F.col("status") == "pending", F.coalesce("new", "score")).otherwise(F.col("score"))
+    return jobs.join(new, "set_id", "left").withColumn("score", score).drop("new")
+
+
 def job_states(events: DataFrame) -> DataFrame:
-    """The last state of each user's job from its log: pending, processing, completed or failed, with its number of events."""
-    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "click", "processing").otherwise("pending")
-    rows = events.select("user_id", F.struct("ts", "event_id", state.alias("state")).alias("x")).groupBy("user_id").agg(F.max("x").alias("x"), F.count("*").alias("n_events"))
-    return rows.select("user_id", "x.state", F.col("x.event_id").alias("last_event"), "n_events")
+    """The last state of each job by its log(job, ts, event_id, state), with its last event and their number."""
+    rows = events.groupBy("job").agg(F.max(F.struct("ts", "event_id", "state")).alias("x"), F.count("*").alias("n_events"))
+    return rows.select("job", "x.state", F.col("x.event_id").alias("last_event"), "n_events")
 
 
 def suggestion_groups(catalog) -> DataFrame:

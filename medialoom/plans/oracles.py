@@ -14,7 +14,7 @@ VIEWS = {
         from lineitem join part on p_partkey = l_partkey""",
     "samples": """select l_orderkey as set_id, concat('/Samples/', p_brand, '/', p_name, ' ', cast(p_partkey as varchar), '.wav') as path
         from lineitem join part on p_partkey = l_partkey""",
-    "previews": """select event_id as id, cast(floor(event_id / 3.0) as bigint) as set_id, concat('/r/', cast(event_id as varchar), '.wav') as audio_path,
+    "previews": """select event_id as id, cast(floor(event_id / 3.0) as bigint) as set_id, case when event_id % 40 = 0 then event_id % 100 end as project_id, concat('/r/', cast(event_id as varchar), '.wav') as audio_path,
         case when event_type = 'error' then 'sketch' else 'discovered' end as source, value / 1000.0 as confidence, ts as mtime from events""",
     "export_jobs": """select event_id as id, event_id as set_id, case when event_id % 4 = 0 then 'pending' when event_id % 4 = 1 then 'processing'
         when event_id % 4 = 2 then 'completed' else 'failed' end as status, case when event_id % 3 = 0 then null else value / 1000.0 end as score, ts as created_at from events""",
@@ -102,6 +102,8 @@ _GRAPH = f"""{_FEATURES},
 
 
 def oracle_sql() -> dict[str, str]:
+    from medialoom.plans.readers import SQL
+
     search = "projects sets previews best list_items hits"
     index = """select s.id as set_id, p.name as project_name, concat('set ', cast(s.id as varchar)) as set_name,
       (select string_agg(name, ' ') from tracks t where t.set_id = s.id) as track_names, (select string_agg(name, ' ') from devices v where v.set_id = s.id) as device_names,
@@ -109,11 +111,11 @@ def oracle_sql() -> dict[str, str]:
     fields = {"project_name": 8.0, "set_name": 10.0, "track_names": 4.0, "device_names": 1.0, "sample_names": 0.5}
     part = "select p_partkey as id, concat(p_name, ' ', cast(p_partkey as varchar)) as name from part"
     folder = "concat('/s/', cast(l_suppkey as varchar))"
-    return {
+    return SQL | {
         "search_filtered": with_views(search + " devices", "select set_id, project, artist, als_path, tempo, has_preview, preview_source from hits where tempo >= 100 and tempo <= 160 and has_preview and preview_source <> 'sketch' and exists (select 1 from devices d where d.set_id = hits.set_id and lower(d.name) like '%promo%')"),
         "search_by_list_and_artist": with_views(search, "select set_id, project, artist, als_path, tempo, in_list from hits where lower(artist) like '%nation\\_1%' escape '\\' and exists (select 1 from list_items l where l.als_path = hits.als_path and l.list_id = 3)"),
         "search_recent_without_preview": with_views(search, "select set_id, project, artist, als_path, tempo, has_preview, in_list from hits where (not has_preview or preview_source = 'sketch') and mtime >= (select max(o_orderdate) from orders) - interval 30 day"),
-        "search_bm25": "with " + bm25("doc_id", {"text": 1.0}, "select doc_id, text from documents", ["thor", "re"]) + " order by score, doc_id limit 50",
+        "search_bm25": "with " + bm25("doc_id", {"text": 1.0}, "select doc_id, text from documents", ["thor", "re"]),
         "search_bm25_multifield": with_views("projects sets tracks devices samples", ", " + bm25("set_id", fields, index, ["promo", "12"])).replace(") , d as", "), d as"),
         "artist_facet": with_views("projects sets", "select coalesce(s.artist_override, p.artist) as artist, count(*) as n from sets s join projects p on p.id = s.project_id group by coalesce(s.artist_override, p.artist)"),
         "catalog_stats": with_views("projects sets tracks devices samples previews export_jobs list_items", " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in ("projects", "sets", "tracks", "devices", "samples", "previews", "export_jobs", "list_items"))),
@@ -121,16 +123,16 @@ def oracle_sql() -> dict[str, str]:
           (select string_agg(concat(cast(idx as varchar), ':', kind, ':', name), ',' order by idx, kind, name) from tracks t where t.set_id = sets.id) as tracks,
           (select string_agg(concat(kind, ':', manufacturer, ':', name), ',' order by kind, manufacturer, name) from devices d where d.set_id = sets.id) as devices,
           (select count(*) from samples m where m.set_id = sets.id) as n_samples from sets"""),
-        "kind_histogram": with_views("tracks", "select set_id, count(*) filter (kind = 'audio') as n_audio, count(*) filter (kind = 'midi') as n_midi, count(*) filter (kind = 'group') as n_group from tracks group by set_id"),
+        "kind_histogram": with_views("tracks", "select set_id, count(*) filter (kind = 'audio') as n_audio, count(*) filter (kind = 'midi') as n_midi, count(*) filter (kind = 'group') as n_group, count(*) filter (kind = 'return') as n_return from tracks group by set_id"),
         "list_counts": with_views("lists list_items", "select id, name, (select count(*) from list_items i where i.list_id = lists.id) as n_items from lists"),
         "list_membership": with_views("sets lists list_items", "select s.als_path, count(l.id) > 0 as in_list, coalesce(string_agg(distinct l.name, ',' order by l.name), '') as lists from sets s left join list_items i on i.als_path = s.als_path left join lists l on l.id = i.list_id group by s.als_path"),
         "primary_preview": with_views("best", "select set_id, id, audio_path, source, confidence from best"),
         "suggestion_groups": with_views("previews", "select set_id, max(confidence) as best, string_agg(audio_path, ',' order by confidence desc, id) as paths from previews group by set_id"),
-        "best_match_names": f"with p as ({part}), r as (select id, {normalized(chr(39).join(['concat(name, ', 'bpm FINAL v2 [2024-01-01]', ')']))} as rn from p where id % 3 = 0), c as (select id, {normalized('name')} as cn from p), m as (select r.id as render_id, c.id as set_id, {similarity('rn', 'cn')} as score from r, c) select render_id, set_id, round(score, 6) as score from m where score >= 0.6 qualify row_number() over (partition by render_id order by score desc, set_id) = 1",
-        "known_sample_guard": with_views("samples", "select p_partkey as id, concat('/samples/', upper(p_brand), '/', p_name, ' ', cast(p_partkey as varchar), '.WAV') as path from part where not exists (select 1 from samples s where s.set_id % 50 = 0 and lower(s.path) = lower(concat('/samples/', upper(p_brand), '/', p_name, ' ', cast(p_partkey as varchar), '.WAV')))"),
+        "best_match_names": f"with p as ({part}), r as (select id, {normalized(chr(39).join(['concat(name, ', 'bpm FINAL v2 [2024-01-01]', ')']))} as rn from p), c as (select id, {normalized('name')} as cn from p), m as (select r.id as render_id, c.id as set_id, {similarity('rn', 'cn')} as score from r, c) select render_id, set_id, round(score, 6) as score from m where score >= 0.6 qualify row_number() over (partition by render_id order by score desc, set_id) = 1",
+        "known_sample_guard": with_views("samples", "select p_partkey as id, concat('/samples/', upper(p_brand), '/', p_name, ' ', cast(p_partkey as varchar), case when p_partkey % 3 = 0 then ' alt' else '' end, '.WAV') as path from part where lower(concat('/samples/', upper(p_brand), '/', p_name, ' ', cast(p_partkey as varchar), case when p_partkey % 3 = 0 then ' alt' else '' end, '.WAV')) not in (select lower(path) from samples)"),
         "unpreviewed_projects": with_views("sets previews", "select distinct project_id from sets s where not exists (select 1 from previews v where v.set_id = s.id and v.source <> 'sketch')"),
         "wholly_unpreviewed_projects": with_views("projects sets previews", "select id, name from projects p where not exists (select 1 from sets s join previews v on v.set_id = s.id where s.project_id = p.id and v.source <> 'sketch')"),
-        "previewed_projects_union": with_views("projects sets previews", "select id, id in (select s.project_id from previews v join sets s on s.id = v.set_id union select project_id from sets where artist_override is not null) as has_preview from projects"),
+        "previewed_projects_union": with_views("projects sets previews", "select id, id in (select s.project_id from previews v join sets s on s.id = v.set_id union select project_id from previews where project_id is not null) as has_preview from projects"),
         "sample_states": with_views("samples files states", "select state, count(distinct path) as n from states group by state"),
         "renderability": with_views("sets devices samples files states", """, inv as (select distinct unnest([lower(p_type), regexp_replace(lower(p_brand), 'brand#([0-9]+)', 'brand \\1') || ' kit']) as norm from part where p_type not in ('PROMO', 'SMALL')),
           gone as (select distinct name from devices d where kind <> 'native' and not exists (select 1 from inv where norm = lower(name) or contains(norm, lower(name)) or contains(lower(name), norm))),
@@ -151,20 +153,20 @@ def oracle_sql() -> dict[str, str]:
         "artist_tagging": with_views("sets", "select id, als_path, case when id % 6 = 0 then case when id % 4 = 0 then 'Tagged' end else artist_override end as artist_override from sets"),
         "relink_votes": f"with f as (select distinct {folder} as folder, l_partkey, l_suppkey from lineitem), n as (select folder, count(*) as n from f where l_suppkey % 2 = 0 group by folder), v as (select a.folder, b.folder as target, count(*) as votes from f a join f b using (l_partkey) where a.l_suppkey % 2 = 0 and b.l_suppkey % 2 = 1 group by all) select v.folder, target, votes, votes = n as complete from v join n using (folder) qualify row_number() over (partition by v.folder order by votes desc, target) = 1",
         "sample_lookup_tiers": f"""with h as (select concat('/f/', p_name, ' ', cast(p_partkey as varchar), case when p_partkey % 4 = 0 then '.wav' else '.aif' end) as path, cast(p_size as bigint) as mtime, {normalized("concat(p_name, ' ', cast(p_partkey as varchar))")} as hn, case when p_partkey % 4 = 0 then 'wav' else 'aif' end as ext from part where p_partkey % 2 = 0),
-          w as (select p_partkey as id, {normalized("concat(p_name, '_', case when p_partkey % 3 = 0 then concat('x', cast(p_partkey * 2 as varchar)) else cast(p_partkey as varchar) end)")} as wn from part where p_partkey % 5 = 0),
+          w as (select p_partkey as id, {normalized("concat(p_name, '_', case when p_partkey % 3 = 0 then concat('x', cast(p_partkey * 2 as varchar)) else cast(p_partkey as varchar) end)")} as wn from part),
           e as (select id, path, mtime, case when ext = 'wav' then 0 else 1 end as tier from w join h on wn = hn),
           z as (select id, wn, replace(wn, ' ', '') as ws from w where wn <> '' and id not in (select id from e)),
           c as (select id, path, mtime, 2 as tier from z, h where replace(hn, ' ', '') = ws or (length(ws) >= 6 and (contains(replace(hn, ' ', ''), ws) or contains(ws, replace(hn, ' ', '')))) or {similarity('wn', 'hn')} >= 0.75)
-          select id, path, tier, row_number() over (partition by id order by tier, mtime desc, path) as rank from (select * from e union all select * from c) qualify rank <= 3""",
+          select id, path, tier, row_number() over (partition by id order by tier, mtime desc, path) as rank from (select * from e union all select * from c)""",
         "artist_from_path": "select p_partkey as id, case when p_partkey % 4 = 0 then p_brand when p_partkey % 4 = 2 then p_type end as artist from part",
-        "tempo_band": with_views("sets", ", o as (select id, lead(id) over (order by tempo asc nulls last, id) as next_id from sets) select id, next_id from o where next_id is not null").replace(") , o", "), o"),
+        "tempo_band": with_views("sets", ", o as (select id, row_number() over (order by tempo asc nulls last, id) as pos from sets) select x.id, y.id as other from o x join o y on y.pos > x.pos and y.pos <= x.pos + 12").replace(") , o", "), o"),
         "tempo_kernel_pairs": with_views("sets", f"select x.id as a, y.id as b, round({kernel('x.tempo', 'y.tempo')}, 6) as fit from sets x join sets y using (project_id) where x.id <> y.id"),
         "sample_jaccard_knn": with_views("sets samples", ", r as (select distinct project_id, path from samples m join sets s on s.id = m.set_id), n as (select project_id, count(*) as n from r group by 1), g as (select path from r group by 1 having count(*) <= 400), i as (select x.project_id as a, y.project_id as b, count(*) as c from r x join g using (path) join r y using (path) where x.project_id <> y.project_id group by all), w as (select a, b, round(c / cast(na.n + nb.n - c as double), 6) as w from i join n na on na.project_id = a join n nb on nb.project_id = b) select a, b, w, row_number() over (partition by a order by w desc, b) as rank from w qualify rank <= 10").replace(") , r", "), r"),
         "name_tfidf_cosine": with_views("projects sets tracks samples devices", "," + _FEATURES + ", p as (select x.id as a, y.id as b from s0 x join s0 y using (project_id) where x.id < y.id), dot as (select a, b, sum(u.idf * v.idf) as dot from p join fw u on u.id = a join fw v on v.id = b and v.k = u.k group by all) select p.a, p.b, round(coalesce(dot / (na.norm * nb.norm), 0), 6) as cosine from p left join dot on dot.a = p.a and dot.b = p.b left join nw na on na.id = p.a left join nw nb on nb.id = p.b").replace(") ,\n", "),\n"),
         "similarity_edges": with_views("projects sets tracks samples devices", "," + _GRAPH + " select source, target, w, rank from knn"),
         "similarity_undirected_edges": with_views("projects sets tracks samples devices", "," + _GRAPH + " select distinct least(source, target) as source, greatest(source, target) as target from knn"),
         "overlap_truncate": "select event_id, user_id, round(least(epoch_us(ts) / 1e6 + value, coalesce(lead(epoch_us(ts) / 1e6) over (partition by user_id order by ts, event_id), epoch_us(ts) / 1e6 + value)), 3) as eff_end from events",
-        "loop_tiling": """with n as (select l_orderkey, l_linenumber, l_linenumber * 4.0 as a, l_linenumber * 4.0 + l_quantity as z, cast(l_partkey % 8 as double) as len, l_partkey % 3 <> 0 and l_partkey % 8 > 0 as loops, (l_partkey % 16) / 2.0 - 1 as rel from lineitem where l_orderkey % 5 = 0),
+        "loop_tiling": """with n as (select l_orderkey, l_linenumber, l_linenumber * 4.0 as a, l_linenumber * 4.0 + l_quantity as z, cast(l_partkey % 8 as double) as len, l_partkey % 3 <> 0 and l_partkey % 8 > 0 as loops, (l_partkey % 16) / 2.0 - 1 as rel from lineitem),
           t as (select *, unnest(case when not loops then [0] when rel >= 0 and rel < len then range(0, cast(ceil((z - a) / len) as bigint)) else [] end) as k from n)
           select l_orderkey, l_linenumber, cast(a + case when loops then k * len else 0 end + rel as double) as beat from t where a + case when loops then k * len else 0 end + rel >= a and a + case when loops then k * len else 0 end + rel < z""",
         "key_range_join": "select o_orderkey, p_partkey from orders join part on o_custkey % 50 = p_partkey % 50 where o_orderkey % 128 between p_size * 2 and p_size * 2 + p_partkey % 7",

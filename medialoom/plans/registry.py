@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ def query(f: Callable[[Catalog], DataFrame]) -> Callable[[Catalog], DataFrame]:
 
 
 def queries() -> dict[str, Query]:
+    from medialoom.plans import readers  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
@@ -54,8 +55,7 @@ def search_recent_without_preview(c: Catalog) -> DataFrame:
 @query
 def search_bm25(c: Catalog) -> DataFrame:
     docs = c.table("documents").select("doc_id", "text")
-    rows = search.ranked(docs, "doc_id", {"text": 1.0}, "thor re").select("doc_id", r6("score").alias("score"))
-    return rows.orderBy("score", "doc_id").limit(50)  # a page of hits
+    return search.ranked(docs, "doc_id", {"text": 1.0}, "thor re").select("doc_id", r6("score").alias("score")).orderBy("score", "doc_id")
 
 
 @query
@@ -108,15 +108,15 @@ def suggestion_groups(c: Catalog) -> DataFrame:
 @query
 def best_match_names(c: Catalog) -> DataFrame:
     part = c.table("part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"))
-    renders = part.where("id % 3 = 0").select("id", names.normalize(F.concat("name", F.lit("bpm FINAL v2 [2024-01-01]"))).alias("norm"))
+    renders = part.select("id", names.normalize(F.concat("name", F.lit("bpm FINAL v2 [2024-01-01]"))).alias("norm"))
     return matching.best_matches(renders, part.select("id", names.normalize(F.col("name")).alias("norm"))).select("render_id", "set_id", r6("score").alias("score"))
 
 
 @query
 def known_sample_guard(c: Catalog) -> DataFrame:
-    path = F.concat(F.lit("/samples/"), F.upper("p_brand"), F.lit("/"), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".WAV"))
+    path = F.concat(F.lit("/samples/"), F.upper("p_brand"), F.lit("/"), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, " alt").otherwise(""), F.lit(".WAV"))
     files = c.table("part").select(F.col("p_partkey").alias("id"), path.alias("path"))
-    return matching.known_sample_guard(files, c.samples.where("set_id % 50 = 0"))
+    return matching.known_sample_guard(files, c.samples)
 
 
 @query
@@ -178,7 +178,7 @@ def job_queue_requeue(c: Catalog) -> DataFrame:
 
 @query
 def job_state_fold(c: Catalog) -> DataFrame:
-    return reads.job_states(c.table("events"))
+    return reads.job_states(c.job_events).withColumnRenamed("job", "user_id")
 
 
 def _stored(c: Catalog) -> DataFrame:
@@ -231,8 +231,8 @@ def relink_votes(c: Catalog) -> DataFrame:
 def sample_lookup_tiers(c: Catalog) -> DataFrame:
     part = c.table("part").select(F.col("p_partkey").alias("id"), "p_name", "p_size")
     files = part.where("id % 2 = 0").select(F.concat(F.lit("/f/"), "p_name", F.lit(" "), F.col("id").cast("string"), F.when(F.col("id") % 4 == 0, ".wav").otherwise(".aif")).alias("path"), F.col("p_size").cast("long").alias("mtime"))
-    missing = part.where("id % 5 = 0").select("id", F.concat("p_name", F.lit("_"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("x"), (F.col("id") * 2).cast("string"))).otherwise(F.col("id").cast("string")), F.lit(".wav")).alias("name"))
-    return matching.sample_lookup(missing, files).where("rank <= 3").select("id", "path", "tier", "rank")
+    missing = part.select("id", F.concat("p_name", F.lit("_"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("x"), (F.col("id") * 2).cast("string"))).otherwise(F.col("id").cast("string")), F.lit(".wav")).alias("name"))
+    return matching.sample_lookup(missing, files).select("id", "path", "tier", "rank")
 
 
 @query
@@ -244,9 +244,8 @@ def artist_from_path(c: Catalog) -> DataFrame:
 
 @query
 def tempo_band(c: Catalog) -> DataFrame:
-    rows = graph.tempo_order(c.sets.select("id", "tempo"))
-    after = rows.select((F.col("pos") - 1).alias("pos"), F.col("id").alias("next_id"))
-    return rows.join(after, "pos").select("id", "next_id")
+    """Each set with those that come within the band after it in order of tempo."""
+    return graph.tempo_neighbours(c.sets.select("id", "tempo")).select("id", "other")
 
 
 @query
@@ -257,15 +256,19 @@ def tempo_kernel_pairs(c: Catalog) -> DataFrame:
 
 @query
 def sample_jaccard_knn(c: Catalog) -> DataFrame:
-    """Projects by the samples of their sets: the ten nearest."""
-    rows = c.samples.join(c.sets.select(F.col("id").alias("set_id"), "project_id"), "set_id").select("project_id", "path").distinct()
-    sizes = rows.groupBy("project_id").agg(F.count("*").alias("n"))
-    kept = rows.join(rows.groupBy("path").agg(F.count("*").alias("g")).where(f"g <= {graph.LINK_CAP}").select("path"), "path")
-    both = kept.select("path", F.col("project_id").alias("a")).join(kept.select("path", F.col("project_id").alias("b")), "path").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    both = both.join(sizes.select(F.col("project_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("project_id").alias("b"), F.col("n").alias("nb")), "b")
-    both = both.select("a", "b", r6(kernels.jaccard(F.col("both"), F.col("na"), F.col("nb"))).alias("w"))
+    """Projects by the samples of their sets: the ten nearest of those that share one that is not in every other project."""
+    rows = c.samples.join(c.sets.select(F.col("id").alias("set_id"), "project_id"), "set_id").select("project_id", F.xxhash64("path").alias("path")).distinct()
+    common = rows.groupBy("path").agg(F.count("*").alias("g")).where(f"g > {graph.LINK_CAP}").select("path", F.lit(True).alias("common"))
+    rows = rows.join(common, "path", "left")
+    own = rows.groupBy("project_id").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("common"), F.col("path"))).alias("often"), F.collect_list(F.when(F.col("common").isNull(), F.col("path"))).alias("seldom"))
+    own = own.select("project_id", "n", "often", F.explode("seldom").alias("path"))
+    side = lambda p: own.select("path", F.struct(F.col("project_id").alias("id"), "n", "often").alias(p))
+    both = side("a").join(side("b"), "path").where("a.id < b.id").groupBy("a", "b").agg(F.count("*").alias("both"))
+    both = both.withColumn("both", F.col("both") + F.size(F.array_intersect("a.often", "b.often")))
+    w = r6(kernels.jaccard(F.col("both"), F.col("a.n"), F.col("b.n")))
+    ways = F.array(F.struct(F.col("a.id").alias("a"), F.col("b.id").alias("b"), w.alias("w")), F.struct(F.col("b.id").alias("a"), F.col("a.id").alias("b"), w.alias("w")))
     order = search.Window.partitionBy("a").orderBy(F.desc("w"), "b")
-    return both.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return both.select(F.explode(ways).alias("e")).select("e.*").withColumn("rank", F.row_number().over(order)).where("rank <= 10")
 
 
 @query
@@ -301,7 +304,7 @@ def overlap_truncate(c: Catalog) -> DataFrame:
 @query
 def loop_tiling(c: Catalog) -> DataFrame:
     n, p = F.col("l_linenumber"), F.col("l_partkey")
-    notes = c.table("lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", (n * 4.0).alias("clip_start"), (n * 4.0 + F.col("l_quantity")).alias("clip_end"), F.lit(1.0).alias("loop_start"), (1.0 + p % 8).cast("double").alias("loop_end"), (p % 3 != 0).alias("loop_on"), ((p % 16) / 2).alias("time"))
+    notes = c.table("lineitem").select("l_orderkey", "l_linenumber", (n * 4.0).alias("clip_start"), (n * 4.0 + F.col("l_quantity")).alias("clip_end"), F.lit(1.0).alias("loop_start"), (1.0 + p % 8).cast("double").alias("loop_end"), (p % 3 != 0).alias("loop_on"), ((p % 16) / 2).alias("time"))
     return timeline.tiled(notes).select("l_orderkey", "l_linenumber", "beat")
 
 
@@ -333,36 +336,3 @@ def mix_signals(c: Catalog) -> DataFrame:
 @query
 def time_signatures(c: Catalog) -> DataFrame:
     return c.table("part").select("p_partkey", kernels.time_signature(F.col("p_partkey") % 495).alias("signature"))
-
-
-@query
-def xml_extract(c: Catalog) -> DataFrame:
-    """The outline of every page by a streaming pass: its elements, deepest nesting and title."""
-    from html.parser import HTMLParser
-
-    class Outline(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.n = self.depth = self.deepest = 0
-            self.title, self.inside = "", False
-
-        def handle_starttag(self, tag, attrs):
-            self.n, self.depth = self.n + 1, self.depth + 1
-            self.deepest, self.inside = max(self.deepest, self.depth), tag == "title"
-
-        def handle_endtag(self, tag):
-            self.depth, self.inside = max(0, self.depth - 1), False
-
-        def handle_data(self, data):
-            self.title += data if self.inside else ""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for i, page in zip(f["page_id"], f["html"], strict=True):
-                o = Outline()
-                o.feed(page or "")
-                rows.append((i, o.n, o.deepest, o.title.strip()))
-            yield pd.DataFrame(rows, columns=["page_id", "n_elements", "depth", "title"])
-
-    return c.table("pages").select("page_id", "html").mapInPandas(run, "page_id bigint, n_elements int, depth int, title string")
