@@ -30,7 +30,7 @@ ZERO, STEP = 64, 0.1
 THRESHOLD = -0.3
 LABELS_BROADCAST = 2_000_000
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def words(text: Column) -> Column:
@@ -108,7 +108,7 @@ def scored(docs: DataFrame, table: bytes, threshold: float = THRESHOLD) -> DataF
         return let(F.transform(w, lambda x: F.xxhash64(x)), lambda u: F.struct(F.size(w).alias("n"), F.char_length(F.array_join(w, "")).alias("chars"), repeated(u).alias("repeated"), total(u).alias("total")))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select("doc_id", let(words(F.col("text")), of_words).alias("f"), (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).alias("symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("lines"))
+    rows = docs.select("doc_id", let(words(F.col("text")), of_words).alias("f"), F.regexp_count(text, F.lit(SYMBOLS)).alias("symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("lines"))
     n = F.col("f")["n"]
     rows = rows.select(
         "doc_id",

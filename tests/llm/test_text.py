@@ -246,6 +246,51 @@ def test_quality_score_is_the_mean_ratio(spark):
     assert got[1].kept and got[0].kept and not got[31].kept and got[1].score > 0 > got[31].score
 
 
+def test_quality_score_against_plain_counts(spark, docs, rows):
+    """The score of every document from counts of its words and pairs in both corpora, as the docstring has them."""
+    labels = labels_for(spark, rows)
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in rows]
+    hashed = {tuple(r.w): r.h for r in spark.createDataFrame([(sorted({w for t in texts for w in t}),)], "w array<string>").select(F.explode("w").alias("x")).select(F.array("x").alias("w"), F.xxhash64("x").alias("h")).collect()}
+    pairs = sorted({(a, b) for t in texts for a, b in zip(t, t[1:], strict=False)})
+    twos = spark.createDataFrame([(a, b, hashed[(a,)], hashed[(b,)]) for a, b in pairs], "a string, b string, x bigint, y bigint").select("a", "b", F.xxhash64("x", "y").alias("h")).collect()
+    hashed |= {(r.a, r.b): r.h for r in twos}
+
+    def grams(w):
+        return [hashed[(x,)] % Q.HALF for x in w] + [hashed[p] % Q.HALF + Q.HALF for p in zip(w, w[1:], strict=False)]
+
+    trusted = {i for i, *_ in rows if i is not None and i < 60 and i % 4 and i != 3}  # 3 has a label that says nothing of it too
+    raw, target = Counter(), Counter()
+    for (i, *_), w in zip(rows, texts, strict=True):
+        raw.update(grams(w))
+        if i in trusted:
+            target.update(grams(w))
+    share = sum(target.values()) / sum(raw.values())
+
+    def level(b):
+        x = np.log((target[b] + Q.SMOOTH) / (raw[b] * share + Q.SMOOTH)) / Q.STEP
+        return max(1, min(127, int(np.sign(x) * np.floor(abs(x) + 0.5)) + Q.ZERO)) - Q.ZERO
+
+    got: dict = {}
+    for r in Q.quality(spark, docs, labels).collect():
+        got.setdefault(-1 if r.doc_id is None else r.doc_id, []).append(r)
+    for (i, *_), w in zip(rows, texts, strict=True):
+        want = sum(map(level, grams(w))) * Q.STEP / (2 * len(w) - 1) if w else 0.0
+        for r in got[-1 if i is None else i]:
+            assert abs(r.score - want) < 1e-6 and r.kept == (not r.base_failed and r.score >= Q.THRESHOLD)
+
+
+def test_contradicting_labels_count_as_the_worst(spark):
+    """Whatever the partitions are: toxic before poor before good, and a doc_id counts once."""
+    rows = [(i, " ".join(["fine lovely" if i % 2 else "vile nasty"] * 30)) for i in range(80)]
+    labels = [(i, 1, int(i % 2 == 0)) for i in range(80)] + [(i, 1, 0) for i in range(0, 80, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    for n in (1, 7):
+        named = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").repartition(n)
+        seen.append(sorted((r.doc_id, round(r.p_toxic, 6)) for r in M.rates(spark, df, named).collect()))
+    assert seen[0] == seen[1] and all((p > 0.9) == (i % 2 == 0) for i, p in seen[0])
+
+
 def test_rates_meet_targets(spark):
     rng = random.Random(2)
     kinds = {"good": "lovely gentle", "poor": "spam junk", "toxic": "vile nasty"}
