@@ -175,6 +175,7 @@ def solve(rows: DataFrame, targets: dict[str, float], max_rate: float = MAX_RATE
         return np.zeros((0, n)), {"have": have, "target": have, "got": have}
     budget = have[weight.argmax()] / weight.max()
     target, scale = np.minimum(weight * budget, have), np.maximum(have, 1.0)
+    target[weight.argmax()] = have[weight.argmax()]  # not a rounding error less
     size = 1 / np.linalg.eigvalsh(gram / np.sqrt(scale[:, None] * scale[None, :])).max()
     steps, got = [], have
     for _ in range(ROUNDS):

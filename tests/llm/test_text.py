@@ -121,10 +121,10 @@ def test_candidates_by_likelihood_alone():
     assert S.spans_of(grammar, "ordinarywords.andletters are ordinary") == []
 
 
-@pytest.mark.parametrize("n", [600, 200_000])
+@pytest.mark.parametrize("n", [600, 100_000])
 def test_a_sample_looks_like_all_credentials(spark, n):
     key = F.substring(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), 1, 40)
-    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words then password="), key).alias("text"))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("the ordinary words of a text " * 20 + "then password="), key).alias("text"))
     grammar = S.train(df)
     fresh = [r.w for r in spark.range(10**9, 10**9 + 1000).select(key.alias("w")).collect()]
     assert sum(grammar.verdict(w) == "assign" for w in fresh) >= 900
