@@ -74,13 +74,13 @@ def bm25(key: str, fields: dict[str, float], source: str, query: list[str]) -> s
 
 
 _FEATURES = f"""
- s0 as (select s.id, s.tempo, lower(coalesce(nullif(s.artist_override, ''), nullif(p.artist, ''), '')) as artist, s.project_id, concat('set ', cast(s.id as varchar)) as stem from sets s join projects p on p.id = s.project_id),
+ s0 as materialized (select s.id, s.tempo, lower(coalesce(nullif(s.artist_override, ''), nullif(p.artist, ''), '')) as artist, s.project_id, concat('set ', cast(s.id as varchar)) as stem from sets s join projects p on p.id = s.project_id),
  fs as (select distinct set_id as id, lower(list_extract(string_split(path, '/'), -1)) as k from samples),
  fd as (select distinct set_id as id, lower(manufacturer) || ':' || lower(name) as k from devices),
- fw0 as (select distinct id, k from (select set_id as id, unnest({graph_words('name')}) as k from tracks union all select id, unnest({graph_words('stem')}) from s0)),
- df as (select k, count(*) as df from fw0 group by k having count(*) <= 60),
- fw as (select id, fw0.k, ln((1.0 + (select count(*) from s0)) / (1.0 + df)) + 1 as idf from fw0 join df on df.k = fw0.k),
- nw as (select id, greatest(sqrt(sum(idf * idf)), 1e-6) as norm from fw group by id)"""
+ fw0 as materialized (select distinct id, k from (select set_id as id, unnest({graph_words('name')}) as k from tracks union all select id, unnest({graph_words('stem')}) from s0)),
+ df as materialized (select k, count(*) as df from fw0 group by k having count(*) <= 60),
+ fw as materialized (select id, fw0.k, ln((1.0 + (select count(*) from s0)) / (1.0 + df)) + 1 as idf from fw0 join df on df.k = fw0.k),
+ nw as materialized (select id, greatest(sqrt(sum(idf * idf)), 1e-6) as norm from fw group by id)"""
 
 _GRAPH = f"""{_FEATURES},
  keys as (select id, 's' || k as k from fs union all select id, 'd' || k from fd union all select id, 'w' || k from fw union all select id, 'a' || artist from s0 where artist <> '' union all select id, 'p' || cast(project_id as varchar) from s0),
@@ -162,7 +162,7 @@ def oracle_sql() -> dict[str, str]:
         "tempo_band": with_views("sets", ", o as (select id, row_number() over (order by tempo asc nulls last, id) as pos from sets) select x.id, y.id as other from o x join o y on y.pos > x.pos and y.pos <= x.pos + 12").replace(") , o", "), o"),
         "tempo_kernel_pairs": with_views("sets", f"select x.id as a, y.id as b, round({kernel('x.tempo', 'y.tempo')}, 6) as fit from sets x join sets y using (project_id) where x.id <> y.id"),
         "sample_jaccard_knn": with_views("sets samples", ", r as (select distinct project_id, path from samples m join sets s on s.id = m.set_id), n as (select project_id, count(*) as n from r group by 1), g as (select path from r group by 1 having count(*) <= 400), i as (select x.project_id as a, y.project_id as b, count(*) as c from r x join g using (path) join r y using (path) where x.project_id <> y.project_id group by all), w as (select a, b, round(c / cast(na.n + nb.n - c as double), 6) as w from i join n na on na.project_id = a join n nb on nb.project_id = b) select a, b, w, row_number() over (partition by a order by w desc, b) as rank from w qualify rank <= 10").replace(") , r", "), r"),
-        "name_tfidf_cosine": with_views("projects sets tracks samples devices", "," + _FEATURES + ", p as (select x.id as a, y.id as b from s0 x join s0 y using (project_id) where x.id < y.id), dot as (select a, b, sum(u.idf * v.idf) as dot from p join fw u on u.id = a join fw v on v.id = b and v.k = u.k group by all) select p.a, p.b, round(coalesce(dot / (na.norm * nb.norm), 0), 6) as cosine from p left join dot on dot.a = p.a and dot.b = p.b left join nw na on na.id = p.a left join nw nb on nb.id = p.b").replace(") ,\n", "),\n"),
+        "name_tfidf_cosine": with_views("projects sets tracks samples devices", "," + _FEATURES + ", p as materialized (select x.id as a, y.id as b from s0 x join s0 y using (project_id) where x.id < y.id), dot as materialized (select a, b, sum(u.idf * v.idf) as dot from p join fw u on u.id = a join fw v on v.id = b and v.k = u.k group by all) select p.a, p.b, round(coalesce(dot / (na.norm * nb.norm), 0), 6) as cosine from p left join dot on dot.a = p.a and dot.b = p.b left join nw na on na.id = p.a left join nw nb on nb.id = p.b").replace(") ,\n", "),\n"),
         "similarity_edges": with_views("projects sets tracks samples devices", "," + _GRAPH + " select source, target, w, rank from knn"),
         "similarity_undirected_edges": with_views("projects sets tracks samples devices", "," + _GRAPH + " select distinct least(source, target) as source, greatest(source, target) as target from knn"),
         "overlap_truncate": "select event_id, user_id, round(least(epoch_us(ts) / 1e6 + value, coalesce(lead(epoch_us(ts) / 1e6) over (partition by user_id order by ts, event_id), epoch_us(ts) / 1e6 + value)), 3) as eff_end from events",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,8 +231,9 @@ SQL["scan_outcomes"] = "select case when c_custkey % 3 <> 0 then 'fresh' when c_
 @query
 def ingest_cascade(c: Catalog) -> DataFrame:
     """Rows of each table by set after a scan: what unreadable files had stays, what the others had is replaced."""
-    root = fixture.write_library(c)
-    records = sets.snapshots(c.spark, root)
+    kept = f"{fixture.folder(c, 'records')}-{uuid.uuid4().hex[:8]}"
+    sets.snapshots(c.spark, fixture.write_library(c)).write.parquet(kept)  # parsed once
+    records = c.spark.read.parquet(kept)
     new = workflows.children(records)
     old = records.select("als_path")
     stored = {"tracks": old.select("als_path", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("idx"), F.lit("old").alias("kind"), F.lit("x").alias("name"), F.lit(1).alias("color")), "locators": old.select("als_path", F.lit(0).alias("idx"), F.lit("old").alias("name"), F.lit(0.0).alias("time"))}
