@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.functions.names import basename, stem
+from medialoom.session import written
 
 # Weights of the indexed fields, and the parameters of bm25.
 FIELD_WEIGHTS = {"project_name": 8.0, "set_name": 10.0, "track_names": 4.0, "device_names": 1.0, "sample_names": 0.5}
@@ -41,8 +42,8 @@ def terms(text: Column) -> Column:
 def ranked(docs: DataFrame, key: str, fields: dict[str, float], raw: str) -> DataFrame:
     """(key, score) of the rows that hold a word beginning with each term of raw, in any field; the smaller the better.
 
-    Every row keeps its fields as arrays of words, so matching and counting stay in one pass without a term table; only the
-    number of rows, their mean length and each term's row count are aggregated, to one row.
+    Words are matched and counted inside each row, in one pass over the texts without a term table; what stays of a row are a
+    few numbers, written once. The number of rows, their mean length and each term's row count are aggregated from them, to one row.
     """
     wanted = [fold_text(t) for t in query_terms(raw)]
     rows = docs.select(F.col(key), *(terms(F.col(f)).alias(f"t_{i}") for i, f in enumerate(fields)))
@@ -51,6 +52,7 @@ def ranked(docs: DataFrame, key: str, fields: dict[str, float], raw: str) -> Dat
     hits = [sum((w * F.size(F.filter(F.col(f"t_{i}"), begins(q))) for i, w in enumerate(fields.values())), F.lit(0.0)) for q in wanted]
     any_of = [F.array_max(F.array(*(F.exists(F.col(f"t_{i}"), begins(q)).cast("int") for i in range(len(fields))))) for q in wanted]
     rows = rows.select(key, length.alias("length"), *(h.alias(f"f_{k}") for k, h in enumerate(hits)), *(a.alias(f"a_{k}") for k, a in enumerate(any_of)))
+    rows = written(rows, "ranked")
     totals = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum(f"a_{k}").alias(f"n_{k}") for k in range(len(wanted))))
     found = rows.where(" and ".join(f"a_{k} = 1" for k in range(len(wanted)))).crossJoin(F.broadcast(totals))  # one row
     score = F.lit(0.0)

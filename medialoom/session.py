@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,3 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
         base = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="medialoom-")
         _own[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, computed once and read back from a table in the shared folder, so that what reads them twice does not compute
+    them twice and a lost executor costs no lineage."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/medialoom/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
