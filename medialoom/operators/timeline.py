@@ -34,8 +34,14 @@ def tiled(notes: DataFrame) -> DataFrame:
 
 
 def zones(notes: DataFrame, parts: DataFrame, track: str, pitch: str, low: str, high: str) -> DataFrame:
-    """Each note with the sample parts of its track in whose range of keys it lies."""
-    return notes.join(parts, track).where(F.col(pitch).between(F.col(low), F.col(high)))
+    """Each note with the sample parts of its track in whose range of keys it lies.
+
+    A part stands for every whole key that its range touches (there are 128), so that a note meets only the parts of its key.
+    """
+    keys = F.when(F.col(low) <= F.col(high), F.sequence(F.floor(low), F.floor(high)))
+    held = parts.withColumn("_key", F.explode(keys))
+    rows = notes.withColumn("_key", F.floor(pitch)).join(held, [track, "_key"])
+    return rows.where(F.col(pitch).between(F.col(low), F.col(high))).drop("_key")
 
 
 def peaks(frames: DataFrame, key: str, frame: str, value: str, coarse: int = COARSE, bins: int = BINS) -> DataFrame:

@@ -158,6 +158,18 @@ def test_tiling_against_plain(spark):
     assert got == want
 
 
+def test_zones_meet_only_parts_of_their_key(spark):
+    notes = [(i, i % 3, p) for i, p in enumerate([0.0, 1.5, 2.0, 3.99, 4.0, 127.0, -1.0, None, 60.0])]
+    parts = [(i, i % 3, low, low + w) for i, (low, w) in enumerate((low, w) for low in (-1.0, 0.0, 1.25, 3.99, 60.0, 126.5) for w in (-1.0, 0.0, 0.5, 4.0, 127.0))]
+    df = timeline.zones(spark.createDataFrame(notes, "n int, t int, p double"), spark.createDataFrame(parts, "m int, t int, a double, b double"), "t", "p", "a", "b")
+    want = sorted((n, m) for n, t, p in notes for m, u, a, b in parts if t == u and p is not None and a <= p <= b)
+    assert sorted((r.n, r.m) for r in df.collect()) == want and sorted(df.columns) == ["a", "b", "m", "n", "p", "t"]
+    # 200 notes and 200 parts of one track, each of a key of its own: 200 rows come out of the join, not 40,000 that are filtered
+    a, b = spark.range(200).selectExpr("id as n", "1 as t", "id as p"), spark.range(200).selectExpr("id as m", "1 as t", "id as a", "id as b")
+    plan = timeline.zones(a, b, "t", "p", "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_key" in plan.split("Join Inner", 1)[1].split("\n")[0]
+
+
 def test_peaks_against_plain(spark):
     x = np.random.default_rng(1).uniform(-1, 1, 5000)
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, f int, v double")
