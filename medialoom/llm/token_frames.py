@@ -37,7 +37,7 @@ from medialoom.llm.shared import Workspace
 
 END_ID = 1
 FRAME_TOKENS = 1 << 20
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("tokens", "<u8"), ("frames", "<u4")])
 SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
@@ -58,7 +58,8 @@ class Encoder:
     """Ids of whole texts, by the tokenizers library, which sees each different chunk between white space once.
 
     The tokenizer cuts at white space before anything else, and neither its normaliser nor its special tokens reach
-    across; so the ids of a text are those of its chunks in a row. The memory of chunks is emptied when it is full.
+    across; so the ids of a text are those of its chunks in a row. Chunks are remembered in two halves: when the
+    newer is full it becomes the older, whose chunks come back when they are met again, so that frequent ones stay.
     """
 
     def __init__(self, path: str, room: int = CACHE_CHUNKS):
@@ -68,7 +69,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
-        self.room, self.known = room, {}
+        self.room, self.known, self.older = room, {}, {}
         if sys.byteorder != "little":
             raise OSError("files are little-endian, and so must be the machine")
 
@@ -88,9 +89,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.parts(t) if isinstance(t, str) else [] for t in texts]
-        if len(self.known) > self.room:
-            self.known.clear()
-        self.learn(set(chain.from_iterable(parts)).difference(self.known))
+        if len(self.known) > self.room // 2:
+            self.known, self.older = {}, self.known
+        new = set(chain.from_iterable(parts)).difference(self.known)
+        if back := new.intersection(self.older):
+            self.known.update((c, self.older[c]) for c in back)
+            new -= back
+        self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -109,7 +114,7 @@ class Encoder:
         code = "H" if self.width == 2 else "I"
         for k in range(0, len(every), 20_000):
             some = every[k : k + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[chunk] = array(code, e.ids).tobytes()
         for chunk, word, end in halves:
             known[chunk] = known[word] + known[end]

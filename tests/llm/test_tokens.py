@@ -131,3 +131,13 @@ def test_ties_and_unknown_pieces(bytes_stand_in):
     for _ in range(400):
         w = "▁" + "".join(rng.choices("abcé", k=rng.randint(0, 9)))
         assert c.word(w) == len(t.encode(w, add_special_tokens=False).ids), w
+
+
+def test_memory_of_chunks_is_bounded_and_keeps_frequent_ones():
+    coder, asked = T.Encoder(T.tokenizer_path(), room=100), []
+    learn = coder.learn
+    coder.learn = lambda new: (asked.extend(new), learn(new))
+    for k in range(40):
+        coder.encode([f"often w{k}x " + " ".join(f"q{k}z{i}" for i in range(20))])
+        assert len(coder.known) + len(coder.older) <= 100 + 2 * 22
+    assert asked.count("often") == 1
