@@ -23,9 +23,7 @@ import os
 import re
 import sys
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +35,8 @@ from medialoom.llm.shared import Workspace
 
 END_ID = 1
 FRAME_TOKENS = 1 << 20
+#: Latin words that the tokenizer gets as one text.
+TOGETHER = 256
 CACHE_CHUNKS = 400_000
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("tokens", "<u8"), ("frames", "<u4")])
@@ -47,6 +47,9 @@ ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 #: whose small form has a mark. Chunks with any of these go to the tokenizer as they are.
 ODD_LETTERS = re.compile("[\u0130\u0250-\U0010ffff]")
 
+#: Marks of ASCII at the end of a chunk: cut off the letters before them, as no letter follows. Not `>`, which ends special tokens.
+MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -55,7 +58,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of whole texts, by the tokenizers library, which sees each different chunk between white space once.
+    """Ids of whole texts, by the tokenizers library, which sees each different chunk between white space once, and Latin words
+    many in a text where the vocabulary marks the ends of words.
 
     The tokenizer cuts at white space before anything else, and neither its normaliser nor its special tokens reach
     across; so the ids of a text are those of its chunks in a row. Chunks are remembered in two halves: when the
@@ -70,9 +74,20 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
         self.room, self.known, self.older = room, {}, {}
+        self.ends = self.word_ends()
         if sys.byteorder != "little":
             raise OSError("files are little-endian, and so must be the machine")
 
+    def word_ends(self) -> np.ndarray | None:
+        """Whether an id ends a word, for each id, where the vocabulary marks that; else None."""
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        vocab = self.tokenizer.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        return ends
+
     @staticmethod
     def chunks(text: str) -> list[str]:
         if any(c in text for c in ODD_SPACE):
@@ -87,35 +102,73 @@ class Encoder:
             return self.chunks(text.lower())
         return [c if ODD_LETTERS.search(c) else c.lower() for c in self.chunks(text)]
 
+    def plain(self, text: str | None) -> str:
+        """The text with its parts between white space of ASCII."""
+        if not isinstance(text, str):
+            return ""
+        if "<|" not in text and (text.isascii() or not ODD_LETTERS.search(text)):
+            return text.lower()
+        return " ".join(self.parts(text))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.parts(t) if isinstance(t, str) else [] for t in texts]
+        """Arrow cuts the texts and numbers their different chunks; only these are looked up, then ids are gathered by number."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
         if len(self.known) > self.room // 2:
             self.known, self.older = {}, self.known
-        new = set(chain.from_iterable(parts)).difference(self.known)
-        if back := new.intersection(self.older):
-            self.known.update((c, self.older[c]) for c in back)
-            new -= back
-        self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        cut = pc.ascii_split_whitespace(pa.array([self.plain(t) for t in texts], pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, chunks))
+        if missed := [k for k, x in enumerate(found) if x is None]:
+            new = {chunks[k] for k in missed}
+            if self.older:
+                back = {c: self.older[c] for c in new if c in self.older}
+                self.known.update(back)
+                new.difference_update(back)
+            self.learn(new)
+            for k in missed:
+                found[k] = self.known[chunks[k]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        pool, first = np.frombuffer(b"".join(found), self.type), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def learn(self, new: set[str]) -> None:
-        """Encodes chunks. One of Latin letters before full stops or commas is cut by the tokenizer where the letters end, so
-        its two halves are encoded instead, which other chunks have too."""
+        """Encodes chunks. One of Latin letters before marks is cut by the tokenizer where the letters end, so its two halves
+        are encoded instead, which other chunks have too. Latin words are encoded many at once."""
         known, halves = self.known, []
         for chunk in new:
-            if chunk[-1] in ".,":
-                word = chunk.rstrip(".,")
+            if chunk[-1:] in MARKS:
+                word = chunk.rstrip(MARKS)
                 if word.isalpha() and not ODD_LETTERS.search(word):
                     halves.append((chunk, word, chunk[len(word) :]))
         if halves:
             new = new.difference(c for c, _, _ in halves).union(w for _, w, _ in halves).union(e for _, _, e in halves).difference(known)
-        every = list(new)
-        code = "H" if self.width == 2 else "I"
-        for k in range(0, len(every), 20_000):
-            some = every[k : k + 20_000]
+        words = [] if self.ends is None else [c for c in new if c.isalpha() and not ODD_LETTERS.search(c)]
+        alone = list(new.difference(words))
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for k in range(0, len(groups), 100):
+            some = groups[k : k + 100]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, self.type)
+                at = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+                if len(at) != len(group) or at[-1] != ids.nbytes:
+                    alone += group  # not one end for each word: they are encoded one by one
+                    continue
+                raw = ids.tobytes()
+                known.update(zip(group, [raw[i:j] for i, j in zip([0, *at], at)], strict=True))
+        for k in range(0, len(alone), 20_000):
+            some = alone[k : k + 20_000]
             for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[chunk] = array(code, e.ids).tobytes()
+                known[chunk] = np.asarray(e.ids, self.type).tobytes()
         for chunk, word, end in halves:
             known[chunk] = known[word] + known[end]
 

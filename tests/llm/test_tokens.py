@@ -141,3 +141,25 @@ def test_memory_of_chunks_is_bounded_and_keeps_frequent_ones():
         coder.encode([f"often w{k}x " + " ".join(f"q{k}z{i}" for i in range(20))])
         assert len(coder.known) + len(coder.older) <= 100 + 2 * 22
     assert asked.count("often") == 1
+
+
+def test_words_reach_the_tokenizer_many_at_once():
+    import random
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    coder = T.Encoder(T.tokenizer_path())
+    plain, coder.tokenizer = coder.tokenizer, Counted(coder.tokenizer)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéßñ", k=rng.randint(1, 12))) for _ in range(3000)]
+    odd = ["X<|endoftext|>Y <|EndOfText|>", "don't!! can't** it's''s 's's a''s **", "a\vb\fc d\x1ce\x85f\u2003g \x00a", "\u2167 \u0130st \ufb01n** \u01c5.. \u02bcn \u00bd.. \u00aa!!", "x|y a<b>c <| |> word_ __x__ 12..", "", None, " \n "]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 3000, 100)] + odd
+    got = coder.encode(texts)
+    assert got == [np.asarray(plain.encode(t or "", add_special_tokens=False).ids, coder.type).tobytes() for t in texts]
+    assert coder.tokenizer.texts < 100 and coder.encode([]) == []
