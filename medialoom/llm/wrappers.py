@@ -1,6 +1,6 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from pages of one host.
 
-A few pages of each host are turned into token streams (tags with their class or id, and texts). Runs of one pattern in a
+The pages of each host are turned into token streams (tags with their class or id, and texts). Runs of one pattern in a
 stream are folded to a repeated group; then the streams are aligned one after the other with the wrapper so far: where
 texts differ a text slot arises, where one side has tags that the other lacks an optional group. The wrapper's slots show where
 the text changes from page to page, and the deepest element that holds most of that text is the host's article element,
@@ -9,7 +9,8 @@ elements inside that are not of the article (forms, adverts, comments and so on,
 host's element is missing is read by the wrapper of its own single stream, where every text is a slot; so is a host with a
 single page.
 
-Wrappers are inferred from at most PAGES_PER_HOST pages of a host, drawn by a hash of the page; they are applied to all.
+Wrappers are inferred from all pages of a host: each task aligns those that it reads, and the tasks' wrappers are then aligned
+with each other, as wrappers are streams too; the text at each place is summed over all pages. They are applied to all.
 
 Defined results: null or empty html gives an empty text; a page without blocks gives an empty text; repeated rows get a
 row each; a null url is a host of its own. Extra columns are not read; an empty table gives no rows.
@@ -17,18 +18,24 @@ row each; a null url is a host of its own. Extra columns are not read; an empty
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialoom.llm.shared import ARROW_ROWS, Workspace
 
-PAGES_PER_HOST = 6
+#: Hosts that a task remembers before it hands on what it has learned of them.
+HOSTS = 1000
+#: Streams of different tags that it holds until then.
+SHAPES = 10_000
 #: Alignments of more cells than this are halved first (Hirschberg), so that long streams need little memory.
 CELLS = 1 << 18
 BROADCAST_BYTES = 16 << 20
@@ -145,9 +152,8 @@ def folded(items: list[tuple], longest: int = 8) -> list[tuple]:
         out, k = [], 0
         while k < len(items):
             part = items[k : k + width]
-            pattern = shape(part)
             balanced = len(part) == width and part[0][0] == "tag" and not part[0][1].startswith("/") and part[-1] == ("tag", "/" + part[0][1])
-            n = 1
+            pattern, n = shape(part) if balanced else (), 1
             while balanced and k + (n + 1) * width <= len(items) and shape(items[k + n * width : k + (n + 1) * width]) == pattern:
                 n += 1
             if balanced and n > 1:
@@ -272,16 +278,14 @@ def slots(items: list[tuple], path: tuple[str, ...], found: set[tuple[str, ...]]
     return path
 
 
-def volumes(streams: list[list[tuple]], found: set[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    """Characters that the pages have at each of the slots' places."""
-    out = dict.fromkeys(found, 0)
-    for items in streams:
-        path: tuple[str, ...] = ()
-        for kind, what in items:
-            if kind == "tag":
-                path = inside(path, what)
-            elif path in out:
-                out[path] += len(what)
+def places(items: list[tuple]) -> list[tuple[str, ...]]:
+    """The chain of open elements at each text of a stream."""
+    out, path = [], ()
+    for kind, what in items:
+        if kind == "tag":
+            path = inside(path, what)
+        else:
+            out.append(path)
     return out
 
 
@@ -290,13 +294,13 @@ def is_foreign(key: str) -> bool:
     return name in OUTSIDE or bool(FOREIGN.intersection(words)) and name not in ("html", "body")
 
 
-def article_key(wrapper: list[tuple], streams: list[list[tuple]]) -> str:
+def article_key(wrapper: list[tuple], volume: dict[tuple[str, ...], int]) -> str:
     """The key of the element that holds the wrapper's article, whatever its name: the deepest with most of the text in the
     slots. Slots in what is foreign by its name don't count, nor those in links where there are others; a host without any
     slot that counts has none."""
     found: set[tuple[str, ...]] = set()
     slots(wrapper, (), found)
-    text = volumes(streams, {p for p in found if p and not any(map(is_foreign, p))})
+    text = {p: volume.get(p, 0) for p in found if p and not any(map(is_foreign, p))}
     prose = {p: n for p, n in text.items() if not any(k.split(".")[0] == "a" for k in p)}
     text = prose if sum(prose.values()) else text
     weight: dict[str, int] = {}
@@ -310,17 +314,80 @@ def article_key(wrapper: list[tuple], streams: list[list[tuple]]) -> str:
     return max(holders, key=lambda k: (depth[k], weight[k], k)) if holders else ""
 
 
+def flat(items: list[tuple]) -> list[tuple]:
+    """The items with those of optional groups in their places, so that a page that has them meets them, and its texts theirs."""
+    return [x for kind, what in items for x in (flat(what) if kind == "opt" else [(kind, what)])]
+
+
+def all_slots(items: list[tuple]) -> list[tuple]:
+    """The wrapper of a single stream, where every text is a slot."""
+    return [("text", None) if kind == "text" else (kind, what if kind == "tag" else all_slots(what)) for kind, what in items]
+
+
+class Learned:
+    """What some pages of a host say: their wrapper and the text at each place. Streams of the same tags are one, with slots
+    where their texts differ, before they are folded and aligned. While all pages are equal, they count once."""
+
+    def __init__(self):
+        self.first, self.many, self.wrapper, self.volume = b"", False, [], {}
+        self.one, self.held = None, {}
+
+    def add(self, items: list[tuple]) -> None:
+        if self.one is None:
+            self.one = items
+        elif not self.many:
+            if items == self.one:
+                return
+            self.many = True
+        key = tuple(what if kind == "tag" else None for kind, what in items)
+        if key in self.held:
+            merged, where = self.held[key]
+            self.held[key] = [a if a == b else ("text", None) for a, b in zip(merged, items, strict=True)], where
+        else:
+            where = places(items)
+            self.held[key] = items, where
+        for path, (_, text) in zip(where, (i for i in items if i[0] == "text"), strict=True):
+            self.volume[path] = self.volume.get(path, 0) + len(text)
+
+    def settle(self) -> Learned:
+        """Aligns the streams it still holds."""
+        if self.one is not None and not self.first:
+            first = hashlib.blake2b(repr(self.one).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            for merged, _ in self.held.values():
+                self.join(first, self.many, folded(merged))
+            self.one, self.held = None, {}
+        return self
+
+    def join(self, first: bytes, many: bool, wrapper: list[tuple]) -> None:
+        self.many = self.many or many
+        if not self.first:
+            self.first, self.wrapper = first, wrapper
+        elif shape(self.wrapper) == shape(wrapper):
+            self.wrapper = [merge_item(a, b) for a, b in zip(self.wrapper, wrapper, strict=True)]
+        else:
+            self.wrapper = align(flat(self.wrapper), flat(wrapper))
+
+    def merge(self, other: Learned) -> None:
+        """Takes over what other pages of the host say."""
+        self.settle()
+        other.settle()
+        if not other.first or self.first == other.first and not (self.many or other.many):
+            return
+        self.join(other.first, other.many or bool(self.first) and self.first != other.first, other.wrapper)
+        for path, n in other.volume.items():
+            self.volume[path] = self.volume.get(path, 0) + n
+
+    def article(self) -> str:
+        self.settle()
+        return article_key(self.wrapper if self.many else all_slots(self.wrapper), self.volume)
+
+
 def infer(reader: Reader, pages: list[str]) -> str:
-    """The article key of a host's pages. Equal streams say nothing about each other and count once."""
-    streams = [list(s) for s in dict.fromkeys(tuple(stream(reader, p)) for p in pages)]
-    if not streams:
-        return ""
-    if len(streams) == 1:
-        return article_key([("text", None) if i[0] == "text" else i for i in streams[0]], streams)
-    wrapper = folded(streams[0])
-    for s in streams[1:]:
-        wrapper = align(wrapper, folded(s))
-    return article_key(wrapper, streams)
+    """The article key of a host's pages."""
+    learned = Learned()
+    for p in pages:
+        learned.add(stream(reader, p))
+    return learned.article()
 
 
 def extract(reader: Reader, page: str, key: str) -> str | None:
@@ -363,16 +430,33 @@ def host():
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def host_wrappers(pages: DataFrame, sample: int = PAGES_PER_HOST) -> DataFrame:
-    """(host, article) for every host, inferred from a few of its pages."""
-    draw = Window.partitionBy("host").orderBy("draw", "html")
-    rows = pages.where(F.length("html") > 0).select(host().alias("host"), F.xxhash64("page_id", "url").alias("draw"), "html")
-    rows = rows.withColumn("n", F.row_number().over(draw)).where(F.col("n") <= sample).select("host", "html")
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, article) for every host, inferred from all its pages: where they are read, then from what the tasks learned."""
+    rows = pages.where(F.length("html") > 0).select(host().alias("host"), "html")
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, known, part, turn = Reader(), {}, TaskContext.get().partitionId(), 0
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame({"host": list(known), "part": part, "turn": turn, "learned": [pickle.dumps(x.settle()) for x in known.values()]})
+
+        for f in frames:
+            for name, page in zip(f["host"], f["html"], strict=True):
+                known.setdefault(name, Learned()).add(stream(reader, page))
+            if len(known) > HOSTS or sum(len(x.held) for x in known.values()) > SHAPES:
+                yield told()
+                known, turn = {}, turn + 1
+        if known:
+            yield told()
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [f["host"].iat[0]], "article": [infer(Reader(), f["html"].tolist())]})
+        learned = Learned()
+        for x in f.sort_values(["part", "turn"])["learned"]:
+            learned.merge(pickle.loads(x))
+        return pd.DataFrame({"host": [f["host"].iat[0]], "article": [learned.article()]})
 
-    return rows.groupBy("host").applyInPandas(run, "host string, article string")
+    found = rows.mapInPandas(learn, "host string, part int, turn int, learned binary")
+    return found.groupBy("host").applyInPandas(run, "host string, article string")
 
 
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:

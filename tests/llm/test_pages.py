@@ -68,6 +68,25 @@ def test_main_text(spark):
     assert W.main_text(spark, df.limit(0)).count() == 0
 
 
+def test_every_page_of_a_host_counts(spark):
+    """Eight pages that have one short text, and one page whose article outweighs them: whichever pages a few would be."""
+    short = [(i, f"http://a.example/{i}", f"<html><body><div class=lead><p>n {i}</p></div></body></html>") for i in range(24)]
+    long = [(100, "http://a.example/long", "<html><body><div class=lead><p>n</p></div><div class=story><p>" + "words of it " * 60 + "</p></div></body></html>"), (101, "http://a.example/long2", "<html><body><div class=lead><p>n</p></div><div class=story><p>" + "other words " * 60 + "</p></div></body></html>")]
+    df = spark.createDataFrame(short + long, "page_id bigint, url string, html string").repartition(4)
+    assert [r.article for r in W.host_wrappers(df).collect()] == ["div.story"]
+    reader = W.Reader()
+    parts = [W.Learned() for _ in range(3)]
+    for k, (_, _, html) in enumerate(short + long):
+        parts[k % 3].add(W.stream(reader, html))
+    whole = W.Learned()
+    for x in parts:
+        whole.merge(x)
+    assert whole.article() == W.infer(reader, [r[2] for r in short + long]) == "div.story"
+    same = W.Learned()
+    same.merge(parts[0].__class__())
+    assert same.article() == ""
+
+
 def test_articles_after_thousands_of_tags():
     reader = W.Reader()
     menu = "<div class=list>" + "".join(f"<span class=c{'abc'[k % 3]}{'de'[k % 5 % 2]}><a href=x>link {k}</a></span>" for k in range(1500)) + "</div>"
