@@ -13,7 +13,8 @@ Ids are little-endian, of 2 bytes where the vocabulary fits, else of 4; bit 0 of
 Defined results: a null text is encoded as an empty one; a null doc_id comes first; of equal doc_ids every row is kept,
 in the order of a hash of their texts, so that one doc_id (or null) may fill many files. Extra columns are not read; an empty
 table makes a manifest without files, and no rows. Tasks write under names of their own attempt, and the manifest lists the files of the
-attempts that counted: a task that was lost and ran again leaves no trace in what is read.
+attempts that counted: a task that was lost and ran again leaves no trace in what is read. After each batch a worker gives back the
+memory that it does not use; else several workers, which live on from stage to stage, outgrow an executor.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialoom.llm.shared import Workspace
+from medialoom.llm.shared import Workspace, give_back
 
 END_ID = 1
 FRAME_TOKENS = 1 << 20
@@ -267,6 +268,7 @@ def write_frames(spark: SparkSession, docs: DataFrame, where: str, tokenizer: st
         end = b"" if end_id is None else np.asarray([end_id], coder.type).tobytes()
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.ids.zst"
+        give_back()  # what the stages before have left in this worker
         for f in frames:
             ids = [None if x else int(i) for x, i in zip(f["none"], f["doc_id"], strict=True)]
             for doc_id, got in zip(ids, coder.encode(f["text"].tolist()), strict=True):
@@ -276,6 +278,7 @@ def write_frames(spark: SparkSession, docs: DataFrame, where: str, tokenizer: st
                     out = FrameWriter(store.open_output_stream(f"{folder}/{name}", compression=None), coder.width)
                 out.add(doc_id, got + end)
                 n_docs, n_tokens = n_docs + 1, n_tokens + (len(got) + len(end)) // coder.width
+            give_back()
         if out is not None:
             out.close()
             yield pd.DataFrame({"part": [task.partitionId()], "file": [name], "docs": [n_docs], "tokens": [n_tokens]})

@@ -163,3 +163,32 @@ def test_words_reach_the_tokenizer_many_at_once():
     got = coder.encode(texts)
     assert got == [np.asarray(plain.encode(t or "", add_special_tokens=False).ids, coder.type).tobytes() for t in texts]
     assert coder.tokenizer.texts < 100 and coder.encode([]) == []
+
+
+def test_workers_give_back_the_memory_of_their_batches(spark, tmp_path):
+    import random
+    import re
+    from pathlib import Path
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(20_000)]
+    rows = [(i, " ".join(rng.choices(words, k=3000))) for i in range(3000)]
+    with conf(spark, **{"spark.sql.shuffle.partitions": "2", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
+        T.write_frames(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), f"file://{tmp_path}/out", T.tokenizer_path())
+
+    def held(frames):
+        import ctypes
+
+        import pyarrow as pa
+
+        mb = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+        for _ in frames:
+            before = mb()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+            yield pd.DataFrame({"mb": [before - mb()]})
+
+    got = [r.mb for r in spark.range(0, 16, 1, 16).mapInPandas(held, "mb double").collect()]
+    assert max(got) < 25, got
