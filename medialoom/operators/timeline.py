@@ -37,10 +37,12 @@ def zones(notes: DataFrame, parts: DataFrame, track: str, pitch: str, low: str,
     """Each note with the sample parts of its track in whose range of keys it lies.
 
     A part stands for every whole key that its range touches (there are 128), so that a note meets only the parts of its key.
+    Both sides are dealt by track and key, and nothing is broadcast: the driver does not hold the parts of all keys, and the rows
+    of a key come one after the other, so that tables of them are small on disk however many they are.
     """
     keys = F.when(F.col(low) <= F.col(high), F.sequence(F.floor(low), F.floor(high)))
     held = parts.withColumn("_key", F.explode(keys))
-    rows = notes.withColumn("_key", F.floor(pitch)).join(held, [track, "_key"])
+    rows = notes.withColumn("_key", F.floor(pitch)).join(held.hint("merge"), [track, "_key"])
     return rows.where(F.col(pitch).between(F.col(low), F.col(high))).drop("_key")
 
 

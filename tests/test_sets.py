@@ -170,6 +170,16 @@ def test_zones_meet_only_parts_of_their_key(spark):
     assert "_key" in plan.split("Join Inner", 1)[1].split("\n")[0]
 
 
+def test_zones_are_dealt_by_key_and_take_little_disk(spark, tmp_path):
+    notes = spark.range(4000).selectExpr("id as n", "1 as t", "id * 7919 % 16 as p")
+    parts = spark.range(8000).selectExpr("id as m", "1 as t", "id % 16 as a", "id % 16 as b")
+    df = timeline.zones(notes, parts, "t", "p", "a", "b").select("n", "m")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    df.write.parquet(str(tmp_path / "zones"))
+    assert spark.read.parquet(str(tmp_path / "zones")).count() == 2_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "zones").glob("*.parquet")) < 1_000_000
+
+
 def test_peaks_against_plain(spark):
     x = np.random.default_rng(1).uniform(-1, 1, 5000)
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, f int, v double")
